@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import decontaminate, langid, neardup, pieces, sampling, tokens, toxicity, warc
+from pulsegrid.llm import chat, decontaminate, langid, neardup, phrases, pieces, sampling, tokens, toxicity, urls, warc
 from pulsegrid.llm.scratch import Scratch
 
 
@@ -44,6 +44,28 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", sampling.fold("doc_id", 3) == 1)
 
 
+#: Listed rules of the URL filter: host, path prefix, verdict. Fixed values.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.recover(table(spark, sf_dir, "conversations"), train=sampling.fold("conv_id", 3) != 0)
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group(table(spark, sf_dir, "documents"), percent=85)
 
@@ -64,6 +86,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc": op2_warc,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_language_id": op4_language_id,
+        "op5_url_filter": op5_url_filter,
+        "op6_phrase_fingerprints": op6_phrase_fingerprints,
+        "op7_chat_roles": op7_chat_roles,
         "op8_near_duplicates": op8_near_duplicates,
         "op9_toxicity": op9_toxicity,
         "op10_decontamination": op10_decontamination,
