@@ -119,3 +119,36 @@ def top_features(df: DataFrame, columns: Sequence[str], stats: DataFrame, host:
     each = [F.struct((-F.least(F.abs(F.coalesce(F.col(c), F.lit(0.0)) - F.col("_st")[c]["mean"]) / F.greatest(F.col("_st")[c]["std"], F.lit(1e-3)), F.lit(cap))).alias("z"), F.lit(c).alias("name")) for c in columns]
     ranked = F.slice(F.array_sort(F.filter(F.array(*each), lambda x: x["z"].isNotNull())), 1, k)
     return out.withColumn("top", F.transform(ranked, lambda x: x["name"])).drop("_st")
+
+
+def dynamic_limits(percentiles: DataFrame, platform: str, metric: str) -> DataFrame:
+    """Limits per platform from percentiles: 1.05 times the highest p99, 0.9 times the lowest p001 (500 at
+    least, and only if over 100) for fan speeds."""
+    fan = F.col(metric).contains("rpm")
+    out = percentiles.groupBy(platform, metric).agg(F.max("p99").alias("_h"), F.min("p001").alias("_l"))
+    low = F.when(F.col("_l") > 100, F.greatest(0.9 * F.col("_l"), F.lit(500.0)))
+    return out.select(platform, metric, F.when(~fan, 1.05 * F.col("_h")).alias("high"), F.when(fan, low).alias("low"))
+
+
+def smooth_isolated(df: DataFrame, score: str, by, order, spike: float = 0.30, bad: float = 0.70) -> DataFrame:
+    """Adds ``smooth`` (an isolated score over ``spike`` is the mean of its neighbours) and ``excluded`` (over
+    ``bad``, or next to such a row)."""
+    w = over(by, order)
+    s, before, after = F.col(score), F.lag(score).over(w), F.lead(score).over(w)
+    lone = (s > spike) & (F.coalesce(before, F.lit(0.0)) <= spike) & (F.coalesce(after, F.lit(0.0)) <= spike)
+    mean = F.coalesce((before + after) / 2, before, after, s)
+    df = df.withColumn("smooth", F.when(lone, mean).otherwise(s)).withColumn("_bad", F.coalesce(F.col("smooth") > bad, F.lit(False)).cast("int"))
+    return df.withColumn("excluded", F.max("_bad").over(w.rowsBetween(-1, 1)) == 1).drop("_bad")
+
+
+def spread_window_scores(windows: DataFrame, by, end: str, score: str, width: int) -> DataFrame:
+    """Mean score of all windows that cover each row: by, row, score."""
+    rows = windows.select(*by, F.explode(F.sequence(F.col(end) - (width - 1), F.col(end))).alias("row"), score)
+    return rows.groupBy(*by, "row").agg(F.avg(score).alias(score))
+
+
+def collapse_rule(df: DataFrame, host: str, z: str, base: float = 5.0, strict: float = 7.0, warn: float = 0.15, limit: float = 0.20) -> DataFrame:
+    """Adds is_anomaly: over the threshold; the strict one where over ``warn`` of a host's rows would be
+    flagged, and never where over ``limit`` would (a collapsed model)."""
+    rate = F.avg((F.col(z) > base).cast("double")).over(Window.partitionBy(host))
+    return df.withColumn("_rate", rate).withColumn("is_anomaly", F.coalesce(F.when(F.col("_rate") > limit, False).when(F.col("_rate") > warn, F.col(z) > strict).otherwise(F.col(z) > base), F.lit(False))).drop("_rate")

@@ -102,3 +102,59 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
 def autocorrelation(df: DataFrame, by, order, value: str, lag: int = 1) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("_l", F.lag(value, lag).over(w)).groupBy(*by).agg(F.corr(value, "_l").alias("autocorr"))
+
+
+def label_episodes(episodes: DataFrame, events: DataFrame, host: str, rack: str, lead_min: int = 60, lag_min: int = 30) -> DataFrame:
+    """Adds ``label``: the episode overlaps an event's window of its host, of all hosts, or of a feeder
+    (``pdu-<rack>-…``) of its rack."""
+    wide = padded(events, "event_start", "event_end", lead_min, lag_min).select(F.col(host).alias("_g"), "w_start", "w_end")
+    keyed = episodes.withColumn("_k", F.monotonically_increasing_id())
+    feeder = F.regexp_extract("_g", r"^pdu-(\d+)", 1).try_cast("int")
+    own = lambda a, b: overlaps(a, b, [host], ("episode_start", "episode_end"), ("w_start", "w_end"))
+    by_host = with_wildcard(keyed, wide.withColumnRenamed("_g", host), host, own).select(host, "episode_start", "episode_end")
+    racks = wide.where(feeder.isNotNull()).select(feeder.alias(rack), "w_start", "w_end")
+    by_rack = overlaps(keyed, racks, [rack], ("episode_start", "episode_end"), ("w_start", "w_end")).select(host, "episode_start", "episode_end")
+    hit = by_host.union(by_rack).distinct().withColumn("_hit", F.lit(True))
+    return episodes.join(hit, [host, "episode_start", "episode_end"], "left").withColumn("label", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+def pick_threshold(grid: DataFrame, aim: str, target: float = 0.0, floor: float = 0.0) -> DataFrame:
+    """One row (t) of a threshold grid: the best F1 (``f1``), the best recall among precisions of ``target``
+    (``precision``), or the best precision among recalls of ``target`` and precisions of ``floor``
+    (``recall``); the lowest such threshold on ties. Empty if none qualifies."""
+    if aim == "precision":
+        grid, best = grid.where(F.col("precision") >= target), F.col("recall")
+    elif aim == "recall":
+        grid, best = grid.where((F.col("recall") >= target) & (F.col("precision") >= floor)), F.col("precision")
+    else:
+        best = F.col("f1")
+    return grid.agg(F.min_by("t", F.struct(-F.coalesce(best, F.lit(0.0)), F.col("t"))).alias("t")).where("t is not null")
+
+
+def plateau_threshold(grid: DataFrame, incumbent: float | None = None, tie: float = 1e-6) -> DataFrame:
+    """One row (t): the incumbent if it is on the plateau of best F1, else the plateau's middle threshold."""
+    best = grid.agg(F.max("f1").alias("_m"))
+    flat = grid.join(F.broadcast(best), how="cross").where(F.col("f1") >= F.col("_m") - tie)
+    held = F.max(F.when(F.abs(F.col("t") - F.lit(incumbent).cast("double")) < 1e-9, F.col("t")))
+    ordered = F.array_sort(F.collect_list("t"))  # as many as the grid has
+    return flat.agg(F.coalesce(held, F.element_at(ordered, (F.floor((F.count("*") - 1) / 2) + 1).cast("int"))).alias("t"))
+
+
+def type_attribution(alerts: DataFrame, events: DataFrame, host: str, a_span: tuple[str, str], prob: str, kind: str, event: str = "gt_id", truth: str = "category") -> DataFrame:
+    """Per event with an alert: its category, that of its most probable alert, and whether any alert's fits."""
+    pairs = matched(alerts, events, host, a_span)
+    out = pairs.groupBy(event, truth).agg(F.max_by(kind, F.struct(prob, kind)).alias("predicted"), F.bool_or(F.col(kind) == F.col(truth)).alias("lenient"))
+    return out.withColumn("strict", F.col("predicted") == F.col(truth))
+
+
+def permutation_importance(df: DataFrame, score, features: Sequence[str], label: str, key: str) -> dict[str, float]:
+    """Loss of AUROC when a feature's values are dealt anew (by hash order of the key against key order)."""
+    def area(x: DataFrame) -> float:
+        return auroc(x.withColumn("_s", score), "_s", label).collect()[0][0] or 0.0
+
+    base, out = area(df), {}
+    for f in features:
+        a = df.withColumn("_r", F.row_number().over(Window.partitionBy((F.col(key) % 64).alias("_b")).orderBy(key))).withColumn("_b", F.col(key) % 64)
+        b = df.select((F.col(key) % 64).alias("_b"), F.row_number().over(Window.partitionBy((F.col(key) % 64)).orderBy(F.xxhash64(key))).alias("_r"), F.col(f).alias("_x"))
+        out[f] = base - area(a.join(b, ["_b", "_r"]).withColumn(f, F.col("_x")))
+    return out

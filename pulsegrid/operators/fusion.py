@@ -83,3 +83,23 @@ def ensembles(df: DataFrame, a: str, b: str, c: str) -> DataFrame:
     """Adds any, all and two-of-three of three flags."""
     x, y, z = (F.coalesce(F.col(k), F.lit(False)) for k in (a, b, c))
     return df.withColumns({"any_of": x | y | z, "all_of": x & y & z, "two_of_three": (x.cast("int") + y.cast("int") + z.cast("int")) >= 2})
+
+
+def sustained(df: DataFrame, flag: Column, score: str, by, order, rows: int = 3, floor: float = 0.8) -> DataFrame:
+    """``score`` raised to ``floor`` where the flag has held for ``rows`` rows in a row up to this one."""
+    w = over(by, order).rowsBetween(-(rows - 1), 0)
+    held = (F.min(F.coalesce(flag, F.lit(False)).cast("int")).over(w) == 1) & (F.count(F.lit(1)).over(w) == rows)
+    return df.withColumn(score, F.when(held, F.greatest(F.col(score), F.lit(floor))).otherwise(F.col(score)))
+
+
+def rule_summary(episodes: DataFrame, rows: DataFrame, by: Sequence[str], ts: str, flags: Sequence[str], texts: Sequence[str], bucket_s: int = 86400) -> DataFrame:
+    """Per episode: whether each flag held, and the most frequent value of each text (the least on ties)."""
+    from pulsegrid.functions.windows import mode_of
+    from pulsegrid.operators.joins import point_in_interval
+
+    keys = [*by, "episode_start", "episode_end"]
+    inside = point_in_interval(rows, episodes.select(*keys), by, ts, "episode_start", "episode_end", True, bucket_s)
+    out = inside.groupBy(*keys).agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in flags], F.count("*").alias("n_rows"))
+    for c in texts:
+        out = out.join(mode_of(inside, keys, c, c), keys, "left")
+    return out

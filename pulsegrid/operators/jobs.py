@@ -112,3 +112,43 @@ def per_job(scores: DataFrame, job: str, node: str, flag: str, score: str) -> Da
         F.min(score).alias("score_min"), F.max(score).alias("score_max"), F.sum(score).alias("score_sum"), F.avg(score).alias("score_mean"),
     )
     return out.select(job, F.array_join("_a", "|").alias("anomalous_nodes"), F.array_join(F.array_except("_all", "_a"), "|").alias("clean_nodes"), "score_min", "score_max", "score_sum", "score_mean")
+
+
+def dominant_job(running: DataFrame, key: Sequence[str], job: str, cpus: str) -> DataFrame:
+    """The job with the most requested cpus, the lowest id on ties."""
+    return running.groupBy(*key).agg(F.min_by(job, F.struct(-F.coalesce(F.col(cpus), F.lit(0.0)), F.col(job))).alias("dominant_job"))
+
+
+def failed_override(context: Column, state: Column) -> Column:
+    """An explained or ambiguous anomaly of a failed dominant job is over expectation."""
+    failed = F.coalesce(state.isin("FAILED", "NODE_FAIL", "OUT_OF_MEMORY", "TIMEOUT"), F.lit(False))
+    return F.when(context.isin("JOB_EXPLAINED", "AMBIGUOUS") & failed, "JOB_OVER_EXPECTATION").otherwise(context)
+
+
+#: Contexts by urgency, most urgent first, and how each moves an alert's confidence. Fixed values.
+CONTEXT_PRIORITY = ("INFRA_FAULT", "COOLING_FAULT", "JOB_OVER_EXPECTATION", "SENSOR_DRIFT", "MEASUREMENT_DISCREPANCY", "AMBIGUOUS", "JOB_EXPLAINED", "NO_JOBS")
+
+
+def enrich(alerts: DataFrame, contexts: DataFrame, host: str, minute: str, alert: str, context: str, confidence: str) -> DataFrame:
+    """The most urgent context over an alert's hosts at its first minute; confidence moves by 0.15, within [0, 1]."""
+    rank = F.array_position(F.array(*[F.lit(c) for c in CONTEXT_PRIORITY]), F.col(context))
+    best = alerts.join(contexts, [host, minute]).where(rank > 0).groupBy(alert).agg(F.min_by(context, rank).alias("context"))
+    step = F.when(F.col("context").isin("JOB_EXPLAINED"), -0.15).when(F.col("context").isin("INFRA_FAULT", "COOLING_FAULT", "JOB_OVER_EXPECTATION"), 0.15).otherwise(0.0)
+    out = alerts.groupBy(alert).agg(F.max(confidence).alias(confidence)).join(best, alert, "left")
+    return out.withColumn(confidence, F.greatest(F.least(F.col(confidence) + step, F.lit(1.0)), F.lit(0.0)))
+
+
+def oom_windows(rows: DataFrame, jobs: DataFrame, by: Sequence[str], ts: str, end: str, minutes: int = 30) -> DataFrame:
+    """Adds ``oom_window``: within the last ``minutes`` before an out-of-memory job's end on the host."""
+    spans = jobs.select(*by, (F.col(end) - F.expr(f"INTERVAL '{minutes}' MINUTE")).alias("_a"), F.col(end).alias("_b"))
+    hit = point_in_interval(rows.select(*by, ts).distinct(), spans, by, ts, "_a", "_b").select(*by, ts).distinct().withColumn("_h", F.lit(True))
+    return rows.join(hit, [*by, ts], "left").withColumn("oom_window", F.coalesce("_h", F.lit(False))).drop("_h")
+
+
+def merge_small(assigned: DataFrame, vector: str, cluster: str, centroids: dict[int, Sequence[float]], least: int) -> DataFrame:
+    """Members of clusters under ``least`` join the nearest centroid of the others."""
+    sizes = {r[0]: r[1] for r in assigned.groupBy(cluster).count().collect()}  # one row per cluster of the model
+    large = [c for c in centroids if sizes.get(c, 0) >= least] or list(centroids)
+    near = nearest_centroid(assigned.drop("cluster_id", "cluster_dist") if cluster == "cluster_id" else assigned, vector, [centroids[c] for c in large])
+    names = F.array(*[F.lit(c) for c in large])
+    return near.withColumn("cluster_id", F.element_at(names, F.col("cluster_id") + 1))

@@ -152,3 +152,85 @@ def sliding_windows(df: DataFrame, by, order, value: str, width: int, stride: in
     frame = w.rowsBetween(-(width - 1), 0)
     rows = df.withColumns({"_rn": F.row_number().over(w), "window": F.collect_list(F.coalesce(F.col(value), F.lit(0.0))).over(frame)})
     return rows.where((F.col("_rn") >= width) & ((F.col("_rn") - width) % stride == 0)).select(*by, F.col("_rn").cast("long").alias("end_row"), "window")
+
+
+#: Profiles that density clustering looks at: its distances are quadratic in them, so it takes a bounded sample.
+DENSITY_ROWS = 2_000
+
+
+def density_clusters(x: np.ndarray, least: int = 5) -> np.ndarray:
+    """Hierarchical density clustering (Campello et al., 2013): mutual-reachability distances, their minimum
+    spanning tree, the condensed hierarchy, and its most stable clusters. Returns labels, -1 for noise."""
+    n = len(x)
+    if n < 2 * least:
+        return np.full(n, -1)
+    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0))
+    core = np.partition(d, min(least, n - 1), axis=1)[:, min(least, n - 1)]
+    d = np.maximum(d, np.maximum(core[:, None], core[None]))
+    near, link, seen, edges = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool), []
+    at = 0
+    for _ in range(n - 1):  # Prim
+        seen[at] = True
+        closer = ~seen & (d[at] < near)
+        near[closer], link[closer] = d[at][closer], at
+        at = int(np.where(seen, np.inf, near).argmin())
+        edges.append((near[at], link[at], at))
+    parent, members, height, kids = list(range(n)), {i: [i] for i in range(n)}, {}, {}
+    find = lambda i: i if parent[i] == i else find_root(i)
+
+    def find_root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for w, a, b in sorted(edges):
+        a, b, new = find(a), find(b), len(parent)
+        parent.append(new)
+        parent[a] = parent[b] = new
+        members[new], height[new], kids[new] = members[a] + members[b], w, (a, b)
+    # Walk down: a cluster lasts while splits shed fewer than ``least`` points.
+    stability, below, points, stack = {}, {}, {}, [(len(parent) - 1, 0.0, len(parent) - 1)]
+    born = {len(parent) - 1: 0.0}
+    while stack:
+        node, _, cluster = stack.pop()
+        points.setdefault(cluster, members[node])
+        lam = 1 / max(height.get(node, 0.0), 1e-12)
+        if node not in kids:
+            stability[cluster] = stability.get(cluster, 0.0) + lam - born[cluster]
+            continue
+        big = [k for k in kids[node] if len(members[k]) >= least]
+        if len(big) == 2:
+            stability[cluster] = stability.get(cluster, 0.0) + (lam - born[cluster]) * len(members[node])
+            below[cluster] = big
+            for k in big:
+                born[k] = lam
+                stack.append((k, lam, k))
+        else:
+            lost = len(members[node]) - sum(len(members[k]) for k in big)
+            stability[cluster] = stability.get(cluster, 0.0) + (lam - born[cluster]) * lost
+            stack += [(k, lam, cluster) for k in big]
+    root, best, chosen = len(parent) - 1, {}, {}
+    for c in sorted(born):  # children have smaller numbers than their parents
+        inner = sum(best.get(k, 0.0) for k in below.get(c, []))
+        own = stability.get(c, 0.0)
+        best[c], chosen[c] = (own, [c]) if own >= inner and c != root else (inner, [y for k in below.get(c, []) for y in chosen[k]])
+    labels = np.full(n, -1)
+    for i, c in enumerate(chosen[root]):
+        labels[points[c]] = i
+    return labels
+
+
+def cluster_profiles(df: DataFrame, features: Sequence[str], key: str, least: int = 5) -> DataFrame:
+    """Adds cluster_id and cluster_dist: density clusters of a bounded sample of standardised profiles, then
+    every profile to the nearest centroid (0 everywhere if no cluster is found)."""
+    from pulsegrid.operators.jobs import nearest_centroid
+
+    data = _sample(df, features, key, DENSITY_ROWS)
+    mean, scale = (data.mean(0), data.std(0)) if len(data) else (np.zeros(len(features)), np.ones(len(features)))
+    scale = np.where(scale < 1e-9, 1, scale)
+    z = (data - mean) / scale
+    labels = density_clusters(z, least)
+    centres = [z[labels == c].mean(0) for c in range(labels.max(initial=-1) + 1)] or [np.zeros(len(features))]
+    vector = F.array(*[(F.coalesce(F.col(f), F.lit(0.0)) - float(m)) / float(s) for f, m, s in zip(features, mean, scale, strict=True)])
+    return nearest_centroid(df.withColumn("_v", vector), "_v", centres).drop("_v")

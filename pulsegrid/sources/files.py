@@ -51,7 +51,7 @@ def read_tickets(spark: SparkSession, path: str) -> DataFrame:
     """Tickets to events, one row per host of the ``hosts`` list."""
     t = read_csv(spark, path)
     start, end = F.try_to_timestamp("start_time"), F.try_to_timestamp("end_time")
-    rows = t.withColumn("hostname", F.explode(F.filter(F.transform(F.split("hostnames", r"\|"), F.trim), lambda h: h != "")))
+    rows = t.withColumn("hostname", F.explode(F.filter(F.transform(F.split("hostnames", r"\|"), lambda h: F.trim(h)), lambda h: h != "")))
     minutes = F.greatest((F.unix_micros(end) - F.unix_micros(start)) / 6e7, F.lit(0.0))
     return rows.select("hostname", scalars.category(F.col("category")).alias("category"), scalars.severity(F.col("severity").cast("string")).alias("severity"), start.alias("event_start"), end.alias("event_end"), minutes.alias("duration_min"), "description")
 
