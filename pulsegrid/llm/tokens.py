@@ -8,9 +8,12 @@ written, so that a reader of some keys, or of metadata without ids, reads a few
 
 from __future__ import annotations
 
+import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,34 +22,95 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.chunks import ChunkIds
+from pulsegrid.llm.scratch import small_batches
 
 END_ID = 1
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 5_000
 
+_ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to Python, not to the tokenizer
 _CHUNK = re.compile(r"[^ \t\r\n]+")
+_MARKS = ".,!?;:|"
+_CONTEXT = re.compile("[\u03a3\u0130]")  # lower-cased by context, or to two characters
+#: Chunks a worker keeps: twice the usual number, since new words cost most here.
+CACHE = 800_000
 _codecs: dict[str, ChunkIds] = {}
 
 
-def _codec(path: str) -> ChunkIds:
-    """The tokenizer of a file, read once in each process. White space is dropped by it and ends every
-    token, so a text's ids are those of its runs without white space."""
-    if path not in _codecs:
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable Latin-1 stands for itself, and
+    the other bytes, in order, for the letters from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Words:
+    """Ids of chunks without white space. A run of letters with marks behind it is what the tokenizer's
+    normaliser and splitter make of it at sight, so its model is asked directly; all else goes through the
+    whole tokenizer."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread; more would wait for each other
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.marks: dict[str, list[int]] = {"": []}
+        probe = "Zq,! é."
+        words = ["zq", ",!", "é", "."]
+        self.direct = self.tokenizer.encode(probe, add_special_tokens=False).ids == [i for w in words for i in self.ask(w)]
+
+    def ask(self, word: str) -> list[int]:
+        """Ids of one normalised word by the model alone."""
+        written = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(written)]
+
+    def slow(self, chunks: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found: list = [None] * len(chunks)
+        rest = []
+        tokenize = self.model.tokenize
+        for i, chunk in enumerate(chunks):
+            if self.direct and chunk.isascii() and chunk.isalpha() and len(chunk) < 200:
+                found[i] = [t.id for t in tokenize(chunk.lower())]
+                continue
+            word = chunk.rstrip(_MARKS)
+            if self.direct and word.isalpha() and len(word) < 200 and (word.isascii() or (unicodedata.is_normalized("NFC", chunk) and not _CONTEXT.search(word))):
+                tail = chunk[len(word) :]
+                ids = self.ask(word.lower())
+                if tail:
+                    if tail not in self.marks:
+                        self.marks[tail] = self.ask(tail)
+                    ids = ids + self.marks[tail]
+                found[i] = ids
+            else:
+                rest.append(i)
+        for lo in range(0, len(rest), 5_000):
+            some = rest[lo : lo + 5_000]
+            for i, ids in zip(some, self.slow([chunks[i] for i in some]), strict=True):
+                found[i] = ids
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
+
+
+def _split(text: str) -> list[str]:
+    """Runs without white space. The tokenizer lower-cases; doing so first for ASCII leaves fewer distinct runs."""
+    if text.isascii():
+        text = text.lower()
+    return _CHUNK.findall(text) if _ODD_SPACE.search(text) else text.split()
 
-        def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            flat, sizes = [], []
-            for lo in range(0, len(chunks), 20_000):
-                found = [e.ids for e in tokenizer.encode_batch_fast(chunks[lo : lo + 20_000], add_special_tokens=False)]
-                sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-                flat.append(np.fromiter((i for ids in found for i in ids), np.int32, int(sizes[-1].sum())))
-            return np.concatenate(flat), np.concatenate(sizes)
 
-        _codecs[path] = ChunkIds(_CHUNK.findall, encode)
+def _codec(path: str) -> ChunkIds:
+    """The tokenizer of a file, read once in each process. White space is dropped by it and ends every
+    token, so a text's ids are those of its runs without white space."""
+    if path not in _codecs:
+        _codecs[path] = ChunkIds(_split, _Words(path).encode, CACHE)
     return _codecs[path]
 
 
@@ -60,8 +124,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, part, done = _codec(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                rows = batch.slice(lo, 2000)
+            for lo in range(0, batch.num_rows, 1000):
+                rows = batch.slice(lo, 1000)
                 ids, starts = codec(rows.column(1).to_pylist())
                 if end_id is not None:
                     ids = np.insert(ids, starts[1:], end_id)
@@ -74,6 +138,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text:
                 )
                 done += int(starts[-1])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
     rows = rows.mapInArrow(run, f"key {kind}, ids array<int>, n_tokens long, part int, part_start long")
