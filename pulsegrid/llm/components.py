@@ -28,12 +28,10 @@ def _round(edges: DataFrame, scratch: Scratch, large: bool) -> DataFrame:
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(v, comp): for each vertex of an edge (a, b), the smallest vertex of its component."""
     now = scratch.put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    state = None
     while True:
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
-        if tuple(row) == state or not row[0]:
-            break
-        state = tuple(row)
         now = _round(_round(now, scratch, True), scratch, False)
+        # Done when all edges are stars: no vertex that an edge leads to has an edge of its own.
+        if now.join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+            break
     roots = now.select(F.col("v").alias("u"), "v").distinct()
     return scratch.put(now.union(roots).groupBy(F.col("u").alias("v")).agg(F.min("v").alias("comp")), "comps")

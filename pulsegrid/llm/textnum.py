@@ -19,7 +19,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 #: Bytes handled at a time; a longer document is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -156,8 +156,8 @@ def minhash(sets: list[np.ndarray], size: int, seed: int = 1) -> np.ndarray:
         return out
     flat = np.concatenate([sets[i] for i in full])
     at = np.concatenate([[0], np.cumsum([len(sets[i]) for i in full])[:-1]])
-    mult = mix(np.arange(1, size + 1, dtype=U64) * U64(2 * seed + 1)) | U64(1)
+    mult = (mix(np.arange(1, size + 1, dtype=U64) * U64(2 * seed + 1)) >> U64(32)).astype(np.uint32) | np.uint32(1)
+    flat = (flat >> U64(32)).astype(np.uint32)  # already well mixed: odd multiples are permutations of it
     for k in range(size):
-        high = ((flat * mult[k]) >> U64(32)).astype(np.uint32)
-        out[full, k] = np.minimum.reduceat(high, at)
+        out[full, k] = np.minimum.reduceat(flat * mult[k], at)
     return out
