@@ -68,7 +68,7 @@ class Features:
             gram_at[1:] = np.cumsum(n)
             inside = np.arange(gram_at[-1]) - np.repeat(gram_at[:-1], n) + np.repeat(s, n)
             grams = self.slot(hasher(inside, np.minimum(inside + 3, np.repeat(e, n))), 50)
-        fixed = np.stack(columns, 1) if len(s) else np.zeros((0, len(columns)), np.int64)
+        fixed = np.stack(columns, 1).astype(np.int32) if len(s) else np.zeros((0, len(columns)), np.int32)
         return Words(starts, ends, first, which.reshape(-1), hashes, fixed, grams, gram_at)
 
 
@@ -182,24 +182,40 @@ def forward_backward(score: np.ndarray, first: np.ndarray, transitions: np.ndarr
     return gamma[col, row], expected, began
 
 
+def release() -> None:
+    """Give memory that fitting has freed back to the system before long jobs begin."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 def train(features: Features, batches: list[tuple[Words, np.ndarray]], states: int, epochs: int = 6, rate: float = 0.5, decay: float = 1e-6) -> Crf:
     """Maximise the conditional likelihood of token labels by AdaGrad over the batches.
 
     batches: words of some documents and a label per token.
     """
     size = 1 << features.bits
-    model = Crf(features, np.zeros((size, states)), np.zeros((states, states)), np.zeros(states))
-    seen = np.full((size, 1), 1e-6)
+    model = Crf(features, np.zeros((size, states), np.float32), np.zeros((states, states)), np.zeros(states))
+    seen = np.full((size, 1), 1e-6, np.float32)
     seen_moves, seen_start = 1e-6, 1e-6
     touched = []
     for words, _ in batches:  # each batch updates only the weights of its own features
         slots, at = np.unique(np.concatenate([words.fixed.ravel(), words.grams]), return_inverse=True)
+        at = at.astype(np.int32)
         touched.append((slots, at[: words.fixed.size], at[words.fixed.size :]))
     for _ in range(epochs):
         for (words, labels), (slots, at_fixed, at_grams) in zip(batches, touched, strict=True):
             if not len(words.which):
                 continue
-            emit = model.emissions(words)
+            emit = model.emissions(words).astype(np.float64)
             gamma, expected, began = forward_backward(emit[words.which], words.first, model.transitions, model.start, True)
             tokens = len(labels)
             one = np.zeros((tokens, states))

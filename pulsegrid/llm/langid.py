@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import crf, sampling
+from pulsegrid.llm.scratch import small_batches
 from pulsegrid.llm.textnum import column_bytes, slices
 
 #: Labelled documents that the field is fitted on: at most so many of each language.
@@ -110,12 +111,15 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 def _fitted(docs: DataFrame, key: str, text: str, lang: str, train: Column | None, per_language: int):
     """The field, broadcast."""
     spark = docs.sparkSession
+    small_batches(spark)
     fit_rows = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull())
     if train is not None:
         fit_rows = fit_rows.where(train)
     keys = fit_rows.groupBy(key).agg(F.min(lang).alias("label"))
     sample = sampling.texts_of(docs, key, text, sampling.hashed_sample(keys, key, "label", per_language))
-    return spark.sparkContext.broadcast(fit(sample))
+    model = fit(sample)
+    crf.release()
+    return spark.sparkContext.broadcast(model)
 
 
 def readable(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train: Column | None = None, least: float = 0.3, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.scratch import small_batches
 from pulsegrid.llm.textnum import U64, mix
 
 SKETCH = 128
@@ -153,6 +154,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     are not read. Returns key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     heads = np.array(_heads(rows, buckets), np.int64)

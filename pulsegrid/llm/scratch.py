@@ -22,6 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _default[0]
 
 
+#: Rows of an Arrow batch of whole texts at most: some MB, where the default of 10,000 rows takes a hundred.
+TEXT_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to ``TEXT_ROWS`` rows from now on; workers' memory follows the batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through the file system that its path names."""
     jvm = spark.sparkContext._jvm
@@ -48,6 +59,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, what: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}

@@ -8,6 +8,7 @@ count as one document, else a copied document's own words would look significant
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import crf, sampling
+from pulsegrid.llm.scratch import small_batches
 from pulsegrid.llm.textnum import column_bytes, minhash, shingle_sets, slices
 
 #: Labelled documents that the field is fitted on: at most so many of each label.
-SAMPLE_PER_LABEL = 3000
+SAMPLE_PER_LABEL = 2500
 THRESHOLD = 0.3
 
 
@@ -41,7 +43,7 @@ def _representatives(parts, bands: int = 12, rows: int = 2) -> list[np.ndarray]:
 
 def _feature_counts(parts, size: int):
     """Documents of either label that hold each feature."""
-    counts = np.zeros((size, 2))
+    counts = np.zeros((size, 2), np.float32)
     for words, label, counted in parts:
         doc = np.repeat(np.arange(len(label)), np.diff(words.first))
         once = np.unique(doc * np.int64(len(words.hashes)) + words.which)
@@ -51,21 +53,25 @@ def _feature_counts(parts, size: int):
         flat = np.unique(np.repeat(d, slots.shape[1]) * np.int64(size) + slots.ravel())
         d, slot = flat // size, flat % size
         for k in (0, 1):
-            counts[:, k] += np.bincount(slot[label[d] == k], minlength=size)
+            found, n = np.unique(slot[label[d] == k], return_counts=True)
+            counts[found, k] += n
     counts[0] = 0
     return counts
 
 
 def _marked(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """Features whose documents are toxic far too often for chance."""
+    marked = np.zeros(len(counts), bool)
+    tested = np.flatnonzero(counts[:, 1] >= 3)
+    counts, seen = counts[tested].astype(float), len(tested)
     rate = totals[1] / max(1, totals.sum())
     n = counts.sum(1)
-    seen = int((n > 0).sum())
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * sum(np.where(counts[:, k] > 0, counts[:, k] * np.log(counts[:, k] / (n * p)), 0) for k, p in ((0, 1 - rate), (1, rate)))
         toxic_share = counts[:, 1] / max(1, totals[1])
         clean_share = counts[:, 0] / max(1, totals[0])
-    return (counts[:, 1] >= 3) & (g >= 2 * np.log(max(2, seen)) + 2) & (toxic_share >= 8 * clean_share)
+    marked[tested] = (g >= 2 * np.log(max(2, seen)) + 2) & (toxic_share >= 8 * clean_share)
+    return marked
 
 
 def _document_logit(gamma: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -89,6 +95,11 @@ def _platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
     return float(a), float(b)
 
 
+def _lean(words: crf.Words) -> crf.Words:
+    """Without what only offsets need."""
+    return dataclasses.replace(words, starts=np.zeros(0), ends=np.zeros(0), which=words.which.astype(np.int32))
+
+
 def fit(sample: pa.Table, totals: dict[str, int], epochs: int = 8, batch_bytes: int = 400_000) -> crf.Crf:
     """Fit on (text, label '0' or '1') rows. totals: labelled rows of each label, to calibrate for their share."""
     order = np.random.default_rng(11).permutation(len(sample))
@@ -97,7 +108,7 @@ def fit(sample: pa.Table, totals: dict[str, int], epochs: int = 8, batch_bytes:
     data, offsets = column_bytes(sample["text"])
     features = crf.Features(prefixes=(3, 4, 5, 6, 7), suffixes=(3, 4, 5), bits=21)
     raw = [(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], label[i:j]) for i, j in slices(offsets, batch_bytes)]
-    parts = [(features.words(d, o), y) for d, o, y in raw]
+    parts = [(_lean(features.words(d, o)), y) for d, o, y in raw]
     counted = _representatives(raw) if raw else []
     in_sample = np.bincount(label, minlength=2).astype(float)
     distinct = np.bincount(label[np.concatenate(counted)], minlength=2).astype(float) if raw else in_sample
@@ -113,7 +124,7 @@ def fit(sample: pa.Table, totals: dict[str, int], epochs: int = 8, batch_bytes:
     for words, y in parts:
         n = len(y)
         if len(words.which):
-            gamma, _, _ = crf.forward_backward(model.emissions(words)[words.which], words.first, model.transitions, model.start)
+            gamma, _, _ = crf.forward_backward(model.emissions(words).astype(np.float64)[words.which], words.first, model.transitions, model.start)
             x[at : at + n] = _document_logit(gamma[:, 1], np.repeat(np.arange(n), np.diff(words.first)), n)
         else:
             x[at : at + n] = -12
@@ -187,10 +198,13 @@ def clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def _fitted(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, train: Column | None, per_label: int):
     """The field, broadcast."""
     spark = docs.sparkSession
+    small_batches(spark)
     marks = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1))
     if train is not None:
         marks = marks.where(train)
     keys = marks.groupBy(key).agg(F.max(label).cast("int").alias("label"))
     totals = {str(r[0]): r[1] for r in keys.groupBy("label").count().collect()}
     sample = sampling.texts_of(docs, key, text, sampling.hashed_sample(keys, key, "label", per_label))
-    return spark.sparkContext.broadcast(fit(sample, totals))
+    model = fit(sample, totals)
+    crf.release()
+    return spark.sparkContext.broadcast(model)
