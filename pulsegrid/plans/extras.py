@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import detectors, evaluation, fusion, learn
+from pulsegrid.operators import detectors, evaluation, fusion, learn, narrative
 from pulsegrid.operators import jobs as job_ops
 from pulsegrid.plans.base import BY, ORDER, G, J, T, W, query, r
 from pulsegrid.plans.events import _EP, _GW, _SC, _VB, _episodes, _scored
@@ -139,3 +139,42 @@ def job_segments(spark, d):
     s = jobs(spark, d).groupBy("job_id", "host_id").agg(F.min("start_time").alias("a"), F.max("end_time").alias("b"), F.sum("power").alias("p"))
     minutes = (F.unix_micros(F.col("b").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp"))) / 6e7
     return s.groupBy("host_id").agg(F.count("*").alias("n_jobs"), r(F.avg(minutes), 4).alias("mean_minutes"), r(F.sum("p"), 2).alias("power"))
+
+
+_DUR = "CASE WHEN {m} < 120 THEN CAST(CAST(ROUND({m}) AS BIGINT) AS VARCHAR) || ' min' WHEN {m} < 2880 THEN printf('%.1f', ROUND({m} / 60.0 + 1e-9, 1)) || ' h' ELSE printf('%.1f', ROUND({m} / 1440.0 + 1e-9, 1)) || ' days' END"
+
+
+@query(f"WITH {T}, a AS (SELECT event_id, hostname, rack_id, value, (event_id % 6)::INTEGER AS fam, CASE event_id % 4 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'CONFIRMED' WHEN 2 THEN 'CANDIDATE' ELSE 'NONE' END AS tier, (event_id % 4000)::DOUBLE AS m FROM t) SELECT event_id, 'Host ' || hostname || ' in rack ' || CAST(rack_id AS VARCHAR) AS target, CASE tier WHEN 'CRITICAL' THEN 'Act within 15 minutes.' WHEN 'CONFIRMED' THEN 'Act within two hours.' WHEN 'CANDIDATE' THEN 'Review during the shift.' END AS severity, CASE WHEN fam >= 1 THEN CAST(fam AS VARCHAR) || ' sensor famil' || CASE WHEN fam = 1 THEN 'y is' ELSE 'ies are' END || ' silent.' END AS families, CASE WHEN fam >= 4 THEN 'Check the management controller of ' || hostname || '.' WHEN fam >= 2 THEN 'Check the sensor links of ' || hostname || '.' END AS hint, 'A similar alert came ' || {_DUR.format(m='m')} || ' before.' AS cooldown FROM a")
+def alert_clauses(spark, d):
+    e = F.col("event_id")
+    tier = F.element_at(F.array(*[F.lit(x) for x in ("CRITICAL", "CONFIRMED", "CANDIDATE", "NONE")]), (e % 4 + 1).cast("int"))
+    n = (e % 6).cast("int")
+    return rows(spark, d).select(
+        "event_id", narrative.target(F.col("hostname"), F.col("rack_id")).alias("target"), narrative.severity(tier).alias("severity"), narrative.families(n).alias("families"),
+        narrative.controller(n, F.col("hostname")).alias("hint"), narrative.cooldown((e % 4000).cast("double")).alias("cooldown"),
+    )
+
+
+@query("WITH a AS (SELECT l_orderkey AS job, list(l_linenumber ORDER BY l_linenumber) AS l FROM lineitem GROUP BY 1) SELECT job, 'Running jobs: ' || array_to_string(l[1:4], ', ') || CASE WHEN len(l) > 4 THEN ' and ' || CAST(len(l) - 4 AS VARCHAR) || ' more' ELSE '' END || '.' AS jobs FROM a")
+def jobs_sentence(spark, d):
+    a = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("job")).agg(F.array_sort(F.collect_list("l_linenumber")).alias("l"))
+    return a.select("job", narrative.jobs(F.col("l")).alias("jobs"))
+
+
+@query("WITH a AS (SELECT event_id, (event_id % 90) / 10.0 AS p, (event_id % 70) / 10.0 AS q, (event_id % 3)::INTEGER AS v FROM events), w AS (SELECT *, CASE WHEN greatest(p, q) >= 8 THEN 'severe' WHEN greatest(p, q) >= 5 THEN 'anomalous' WHEN greatest(p, q) >= 3 THEN 'raised' END AS word FROM a) SELECT event_id, concat_ws(' ', CASE WHEN word IS NOT NULL THEN CASE WHEN q > p THEN 'Thermal' ELSE 'Power' END || ' residual is ' || word || '.' END, CASE WHEN v > 0 THEN CAST(v AS VARCHAR) || ' constraints are violated.' END) AS physics FROM w")
+def physics_sentence(spark, d):
+    e = F.col("event_id")
+    return table(spark, d, "events").select("event_id", narrative.physics((e % 90) / 10, (e % 70) / 10, e % 3).alias("physics"))
+
+
+@query(f"WITH {T}, f AS (SELECT hostname, MIN(ts) AS f FROM t GROUP BY 1), n AS (SELECT t.hostname, sensor, rack_id FROM t JOIN f USING (hostname) WHERE ts <= f + INTERVAL 2880 MINUTE) SELECT hostname, array_to_string(list_sort(list(DISTINCT sensor)), ', ') AS channels, array_to_string(list_sort(list(DISTINCT 'r' || CAST(rack_id AS VARCHAR))), '|') AS rules FROM n GROUP BY hostname")
+def culprit_channels(spark, d):
+    f = rows(spark, d).withColumn("rule", F.concat(F.lit("r"), F.col("rack_id").cast("string")))
+    return narrative.culprits(f, ["hostname"], "rule", "sensor", "ts", 2880)
+
+
+@query(f"WITH {T}, p AS (SELECT hostname, CASE WHEN ts < TIMESTAMP '2024-01-15 00:00:00' THEN 'pre' ELSE 'epi' END AS phase, CASE WHEN event_id % 3 = 0 THEN value END AS a, CASE WHEN ts < TIMESTAMP '2024-01-15 00:00:00' THEN value ELSE 5.0 END AS b FROM t), l AS (SELECT hostname, phase, 'a' AS channel, a AS x FROM p UNION ALL SELECT hostname, phase, 'b', b FROM p) SELECT hostname, channel, COALESCE(stddev_pop(x) FILTER (phase = 'epi') < 1e-6 AND stddev_pop(x) FILTER (phase = 'pre') > 1e-3, FALSE) AS flatline, COALESCE(AVG((x IS NULL)::INT) FILTER (phase = 'epi') > 0.5, FALSE) AS dropout FROM l GROUP BY ALL")
+def faulty_channels(spark, d):
+    pre = F.col("ts") < F.lit("2024-01-15 00:00:00").cast(NTZ)
+    p = rows(spark, d).select("hostname", F.when(pre, "pre").otherwise("epi").alias("phase"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("a"), F.when(pre, F.col("value")).otherwise(5.0).alias("b"))
+    return narrative.faulty_channels(p, ["hostname"], ["a", "b"], "phase")

@@ -249,3 +249,38 @@ def test_density_clusters(spark):
     assert labels[80] == -1 and len(set(labels[:40])) == 1 and len(set(labels[40:80])) == 1 and labels[0] != labels[40]
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x[:80])], "i int, a double, b double")
     assert learn.cluster_profiles(df, ["a", "b"], "i").select("cluster_id").distinct().count() == 2
+
+
+def test_text_clauses(spark):
+    from pulsegrid.operators import narrative as n
+
+    df = spark.createDataFrame([(90.0, 30.0, [1, 2, 3, 4, 5]), (None, None, [])], "p double, b double, j array<int>")
+    got = df.select(
+        n.sensor("Inlet", F.col("p"), F.col("b"), "C"), n.jobs(F.col("j"), 3), n.deviation(F.col("p"), F.col("b")), n.paragraph(F.lit(None).cast("string"), F.lit("x"), F.lit("")),
+        n.contributions(["u", "v", "w"], [F.col("p"), -F.col("b"), F.lit(0.0)], 2), F.size(n.evidence([F.lit("a"), F.lit("a"), F.lit(None).cast("string")])), n.peers(F.col("p") / 10, F.lit(4)),
+    ).collect()
+    assert tuple(got[0]) == ("Inlet peaked at 90.0 C (30.0 before).", "Running jobs: 1, 2, 3 and 2 more.", 2.0, "x", "Main drivers: u, v.", 1, "The host departs from 4 peers of its job by 9.0 deviations.")
+    assert tuple(got[1]) == (None, None, None, "x", None, 1, None)
+    at = spark.createDataFrame([(T0, T0 + timedelta(minutes=90))], "a timestamp_ntz, b timestamp_ntz")
+    assert at.select(n.lead_time(F.col("a"), F.col("b")), n.minute(F.col("a")), n.sentence_case(F.lit("power"))).collect()[0][:] == ("90 min before the incident", "2024-01-01 00:00 UTC", "Power")
+
+
+def test_job_context_helpers(spark):
+    from pulsegrid.operators import jobs as j
+
+    alerts = spark.createDataFrame([("x", "h1", 0, 0.5), ("x", "h2", 0, 0.5), ("y", "h3", 0, 0.95), ("z", "h9", 0, 0.4)], "alert string, host string, minute int, conf double")
+    ctx = spark.createDataFrame([("h1", 0, "JOB_EXPLAINED"), ("h2", 0, "INFRA_FAULT"), ("h3", 0, "COOLING_FAULT")], "host string, minute int, ctx string")
+    got = {r.alert: (r.context, r.conf) for r in j.enrich(alerts, ctx, "host", "minute", "alert", "ctx", "conf").collect()}
+    assert got == {"x": ("INFRA_FAULT", 0.65), "y": ("COOLING_FAULT", 1.0), "z": (None, 0.4)}
+    v = spark.createDataFrame([(i, [float(i)], 0 if i < 5 else 1 if i < 9 else 2) for i in range(10)], "i int, v array<double>, cluster_id int")
+    merged = j.merge_small(v, "v", "cluster_id", {0: [2.0], 1: [6.5], 2: [9.0]}, 3)
+    assert {r.i: r.cluster_id for r in merged.collect()}[9] == 1
+    first = spark.createDataFrame([(T0, T0 + timedelta(minutes=15)), (T0 + timedelta(minutes=30), T0)], "s timestamp_ntz, o timestamp_ntz")
+    assert [round(r[0], 6) for r in first.select(j.onset_alignment(F.col("s"), F.col("o"))).collect()] == [round(float(np.exp(-1)), 6)] * 2
+
+
+def test_permutation_importance(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, float(a), float(b), bool(a > 0.5)) for i, (a, b) in enumerate(rng.random((400, 2)))], "k int, a double, b double, y boolean")
+    loss = evaluation.permutation_importance(df, F.col("a") + 0.01 * F.col("b"), ["a", "b"], "y", "k")
+    assert loss["a"] > 0.3 and abs(loss["b"]) < 0.05
