@@ -140,13 +140,16 @@ def member(data: bytes) -> bytes:
     return pack.compress(data) + pack.flush()
 
 
+def unpacked(stream: BinaryIO) -> BinaryIO:
+    """A seekable stream, or what its gzip members hold, read as it goes."""
+    packed = stream.read(2) == b"\x1f\x8b"
+    stream.seek(0)
+    return io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 16) if packed else io.BufferedReader(stream, 1 << 16)
+
+
 def read_warc(stream: BinaryIO) -> Iterator[WarcRecord]:
     """Records of a WARC stream, gzip members or plain."""
-    if stream.read(2) == b"\x1f\x8b":
-        stream.seek(0)
-        stream = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 16)
-    else:
-        stream.seek(0)
+    stream = unpacked(stream)
     while line := stream.readline():
         if not line.strip():
             continue
@@ -187,18 +190,15 @@ def convert_files(spark: SparkSession, arcs: list[str], folder: str) -> DataFram
                 system, at = _open(arc)
                 made = 0
 
-                def members(raw: bytes):
+                def members(stream: BinaryIO):
                     nonlocal made
-                    for record in read_arc(io.BytesIO(raw)):
+                    for record in read_arc(stream):
                         made += 1
                         yield member(warc_bytes(convert(record)))
 
-                with system.open_input_file(at) as f:
-                    raw = f.read()
-                if raw[:2] == b"\x1f\x8b":
-                    raw = gzip.decompress(raw)
                 name = re.sub(r"\.arc(\.gz)?$", "", at.rsplit("/", 1)[-1]) + ".warc.gz"
-                where = _write_file(folder, name, members(raw))
+                with system.open_input_file(at) as f:
+                    where = _write_file(folder, name, members(unpacked(f)))
                 yield pa.RecordBatch.from_pydict({"arc": [arc], "warc": [where], "records": [made]})
 
     paths = spark.createDataFrame([(a,) for a in arcs], "arc string").repartition(max(1, len(arcs)))
