@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.chunks import ChunkIds
-from pulsegrid.llm.scratch import small_batches
+from pulsegrid.llm.scratch import release, small_batches
 
 END_ID = 1
 ROW_GROUP_BYTES = 32 << 20
@@ -31,7 +32,7 @@ PAGE_ROWS = 5_000
 
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to Python, not to the tokenizer
 _CHUNK = re.compile(r"[^ \t\r\n]+")
-_MARKS = ".,!?;:|"
+_MARKS = "".join(c for c in string.punctuation if c != "'")  # an apostrophe may begin a word of its own
 _CONTEXT = re.compile("[\u03a3\u0130]")  # lower-cased by context, or to two characters
 #: Chunks a worker keeps: twice the usual number, since new words cost most here.
 CACHE = 800_000
@@ -137,6 +138,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text:
                     names=["key", "ids", "n_tokens", "part", "part_start"],
                 )
                 done += int(starts[-1])
+        release()
 
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
@@ -144,7 +146,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text:
     rows = rows.mapInArrow(run, f"key {kind}, ids array<int>, n_tokens long, part int, part_start long")
     options = {
         "parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.page.row.count.limit": PAGE_ROWS, "parquet.writer.version": "v2",
-        "parquet.enable.dictionary": "true", "compression": "zstd",
+        "parquet.enable.dictionary": "true", "compression": "snappy",
         **{f"parquet.enable.dictionary#{c}": "false" for c in ("key", "n_tokens", "part_start")},
     }
     rows.write.options(**{k: str(v) for k, v in options.items()}).parquet(path)
