@@ -13,7 +13,7 @@ from itertools import chain
 import numpy as np
 
 #: Chunks kept in a worker; beyond it the cache starts anew.
-CACHE = 300_000
+CACHE = 250_000
 
 
 class _Slots(dict):

@@ -182,21 +182,6 @@ def forward_backward(score: np.ndarray, first: np.ndarray, transitions: np.ndarr
     return gamma[col, row], expected, began
 
 
-def release() -> None:
-    """Give memory that fitting has freed back to the system before long jobs begin."""
-    import ctypes
-    import gc
-
-    import pyarrow as pa
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except OSError:  # another C library
-        pass
-
-
 def train(features: Features, batches: list[tuple[Words, np.ndarray]], states: int, epochs: int = 6, rate: float = 0.5, decay: float = 1e-6) -> Crf:
     """Maximise the conditional likelihood of token labels by AdaGrad over the batches.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import crf, sampling
-from pulsegrid.llm.scratch import small_batches
+from pulsegrid.llm.scratch import release, small_batches
 from pulsegrid.llm.textnum import column_bytes, slices
 
 #: Labelled documents that the field is fitted on: at most so many of each language.
@@ -102,6 +102,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                 [batch.column(0), pa.array(names[np.where(known, best, len(names) - 1)], pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(words), pa.array(changes)],
                 names=[key, "lang_pred", "score", "n_words", "n_switches"],
             )
+        release()
 
     rows = docs.select(key, text, F.col(text).rlike(r"\p{L}").alias("has_letter"))
     kind = docs.schema[key].dataType.simpleString()
@@ -118,7 +119,7 @@ def _fitted(docs: DataFrame, key: str, text: str, lang: str, train: Column | Non
     keys = fit_rows.groupBy(key).agg(F.min(lang).alias("label"))
     sample = sampling.texts_of(docs, key, text, sampling.hashed_sample(keys, key, "label", per_language))
     model = fit(sample)
-    crf.release()
+    release()
     return spark.sparkContext.broadcast(model)
 
 
@@ -131,5 +132,6 @@ def readable(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         for batch in batches:
             _, score, words, _ = predict(model.value, *column_bytes(batch.column(at)))
             yield batch.filter(pa.array((score >= least) & (words > 0)))
+        release()
 
     return docs.where(F.col(text).rlike(r"\p{L}")).mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.components import components
-from pulsegrid.llm.scratch import Scratch
+from pulsegrid.llm.scratch import Scratch, release
 from pulsegrid.llm.textnum import column_bytes, minhash, shingle_sets, slices
 
 #: Minimum hashes to branch by, and ranges of the sketch to compare (a byte each).
@@ -76,6 +76,7 @@ def _signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                     [batch.column(0).slice(i, j - i), pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(halves[:, 0]), pa.array(halves[:, 1]), flat, packed],
                     names=["key", "n", "h1", "h2", "tokens", "sig"],
                 )
+        release()
 
     return docs.select(F.col(key).cast("long").alias("key"), text).mapInArrow(run, "key long, n long, h1 long, h2 long, tokens array<int>, sig binary")
 
@@ -103,6 +104,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep[r] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+        release()
 
     rows = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
     rows = rows.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
@@ -223,6 +225,7 @@ def _in_groups(small: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 live[i] = True
                 live[rows] = True
             yield pa.RecordBatch.from_arrays([pa.array(x[live]) for x in part[:8]], names=_GROUP)
+        release()
 
     return dealt.repartition("node", "grp").sortWithinPartitions("node", "grp").mapInArrow(run, _GROUP_DDL)
 
@@ -238,6 +241,7 @@ def _near_inside(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFr
                 found.append(np.stack([np.minimum(key[rows], key[i]), np.maximum(key[rows], key[i])], 1))
             both = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        release()
 
     return dealt.repartition("node", "grp").sortWithinPartitions("node", "grp").mapInArrow(run, "a long, b long")
 

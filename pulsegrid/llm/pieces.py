@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.chunks import ChunkIds, gather
-from pulsegrid.llm.scratch import small_batches
+from pulsegrid.llm.scratch import release, small_batches
 from pulsegrid.llm.textnum import U64, column_bytes, mix
 
 SPACE = "▁"
@@ -278,8 +278,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = model(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for lo in range(0, batch.num_rows, 400):
+                part = batch.slice(lo, 400)
                 ids, starts = codec.encode(part.column(1).to_pylist())
                 data, at = codec.decode(ids, starts)
                 raw, offsets = column_bytes(part.column(1))
@@ -289,6 +289,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                     same = np.array([np.array_equal(raw[offsets[i] : offsets[i + 1]], data[at[i] : at[i + 1]]) for i in range(part.num_rows)], bool)
                 lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(starts)), pa.array(same)], names=[key, "ids", "n_pieces", "round_trip"])
+        release()
 
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()

@@ -22,6 +22,21 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _default[0]
 
 
+def release() -> None:
+    """Give memory that has been freed back to the system: after fitting, and after each partition, whose worker may idle."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 #: Rows of an Arrow batch of whole texts at most: some MB, where the default of 10,000 rows takes a hundred.
 TEXT_ROWS = 1000
 

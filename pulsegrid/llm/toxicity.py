@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import crf, sampling
-from pulsegrid.llm.scratch import small_batches
+from pulsegrid.llm.scratch import release, small_batches
 from pulsegrid.llm.textnum import column_bytes, minhash, shingle_sets, slices
 
 #: Labelled documents that the field is fitted on: at most so many of each label.
@@ -177,6 +177,7 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 [batch.column(0), pa.array(value), pa.array((value >= threshold).astype(np.int32)), pa.array(spans, span)],
                 names=[key, "score", "predicted", "spans"],
             )
+        release()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double, predicted int, spans array<struct<start:int,end:int>>")
@@ -191,6 +192,7 @@ def clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for batch in batches:
             value, _ = score_documents(model.value, *column_bytes(batch.column(at)))
             yield batch.filter(pa.array(value < threshold))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -206,5 +208,5 @@ def _fitted(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
     totals = {str(r[0]): r[1] for r in keys.groupBy("label").count().collect()}
     sample = sampling.texts_of(docs, key, text, sampling.hashed_sample(keys, key, "label", per_label))
     model = fit(sample, totals)
-    crf.release()
+    release()
     return spark.sparkContext.broadcast(model)

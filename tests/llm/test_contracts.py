@@ -226,3 +226,18 @@ def test_contamination(spark, docs, texts):
 def test_contamination_is_native(spark):
     plan = queries.op10_decontamination(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_token_chunks_equal_the_library():
+    """The direct path and the chunk cache give the ids of whole texts, odd ones included."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    tk = Tokenizer.from_file(path)
+    tk.encode_special_tokens = True
+    odd = [
+        "", "ﬁ é é", "日本語 テスト 🎉🎉 x", "don't WON'T it's 's x's 12ab3 a_b", "ΣΑΣ ß ẞ", "a\x1cb\x85c\xa0d e", "<|startoftext|> <|endoftext|>x", "é É.", "İI",
+        "١٢ ²½ x²", "Ⅷ ⅷ", "​ a", "x" * 300, "ﾊﾟ", "word,,! (word) [a]b 'tis '", "ñ$$$ a%%% 1.2.3.4", "\t\n", "Ünïcode-Wörter; _x_ é~",
+    ]
+    ids, at = tokens._codec(path)(odd)
+    assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(odd))] == [tk.encode(t, add_special_tokens=False).ids for t in odd]
