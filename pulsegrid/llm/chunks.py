@@ -47,6 +47,7 @@ class ChunkIds:
         self.slots = _Slots()
         self.flat = np.zeros(0, np.int32)
         self.sizes = np.zeros(0, np.int64)
+        self.starts = np.zeros(0, np.int64)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (int32) end to end, and where each text's begin (n + 1 values). Null reads as empty."""
@@ -56,10 +57,11 @@ class ChunkIds:
         at = np.array(list(map(self.slots.__getitem__, chain.from_iterable(parts))), np.int64)
         if self.slots.fresh:
             ids, sizes = self.encode(self.slots.fresh)
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
             self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
             self.sizes = np.concatenate([self.sizes, sizes])
             self.slots.fresh = []
         sizes = self.sizes[at]
-        ids = gather(self.flat, (np.cumsum(self.sizes) - self.sizes)[at], sizes)
+        ids = gather(self.flat, self.starts[at], sizes)
         ends = np.concatenate([[0], np.cumsum(sizes)])
         return ids, ends[np.concatenate([[0], np.cumsum([len(p) for p in parts])])]

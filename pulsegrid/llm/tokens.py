@@ -82,16 +82,23 @@ class _Words:
                 found[i] = [t.id for t in tokenize(chunk.lower())]
                 continue
             word = chunk.rstrip(_MARKS)
-            if self.direct and word.isalpha() and len(word) < 200 and (word.isascii() or (unicodedata.is_normalized("NFC", chunk) and not _CONTEXT.search(word))):
-                tail = chunk[len(word) :]
-                ids = self.ask(word.lower())
-                if tail:
-                    if tail not in self.marks:
-                        self.marks[tail] = self.ask(tail)
-                    ids = ids + self.marks[tail]
-                found[i] = ids
+            if not (self.direct and word.isalpha() and len(word) < 200):
+                rest.append(i)
+                continue
+            if word.isascii():
+                ids = [t.id for t in tokenize(word.lower())]
+            elif unicodedata.is_normalized("NFC", word) and not _CONTEXT.search(word):
+                ids = [t.id for t in tokenize(word.lower().encode("utf-8").decode("latin-1").translate(self.letters))]
             else:
                 rest.append(i)
+                continue
+            tail = chunk[len(word) :]
+            if tail:
+                more = self.marks.get(tail)
+                if more is None:
+                    more = self.marks[tail] = self.ask(tail)
+                ids += more
+            found[i] = ids
         for lo in range(0, len(rest), 5_000):
             some = rest[lo : lo + 5_000]
             for i, ids in zip(some, self.slow([chunks[i] for i in some]), strict=True):
