@@ -211,7 +211,7 @@ def sensor_silence(spark, d):
 
 @query(f"WITH {J}, x AS (SELECT host_id, job_id, cpus, unnest(generate_series(date_trunc('day', start_time), date_trunc('day', end_time), INTERVAL 1 DAY)) AS ts FROM j WHERE cpus <= 32) SELECT host_id, ts, COUNT(*) AS n, SUM(cpus) AS cpus FROM x GROUP BY ALL")
 def job_minute_expand(spark, d):
-    x = master.expand_jobs(jobs(spark, d).where("cpus <= 32"), "start_time", "end_time", "1 day", 24 * 60)
+    x = master.expand_jobs(jobs(spark, d), "start_time", "end_time", "1 day", 24 * 60)
     return x.groupBy("host_id", "ts").agg(F.count("*").alias("n"), F.sum("cpus").alias("cpus"))
 
 
@@ -220,14 +220,14 @@ _ctx = f"WITH {J}, x AS (SELECT DISTINCT host_id, job_id, cpus, unnest(generate_
 
 @query(_ctx + " SELECT host_id, ts, array_to_string(jl, '|') AS jobs, CAST(len(jl) AS BIGINT) AS active_job_count, jl[1] AS primary_job_id, cl[1] AS primary_job_share, list_sum(cl) AS total_job_share, len(jl) > 1 AS is_multi_job FROM c")
 def job_context_per_bucket(spark, d):
-    x = master.expand_jobs(jobs(spark, d).where("cpus <= 16"), "start_time", "end_time", "1 day", 24 * 60)
+    x = master.expand_jobs(jobs(spark, d), "start_time", "end_time", "1 day", 24 * 60)
     c = master.job_context(x, ["host_id", "ts"], "job_id", "cpus")
     return c.select("host_id", "ts", F.array_join(F.transform("jobs", lambda j: j.cast("string")), "|").alias("jobs"), "active_job_count", "primary_job_id", "primary_job_share", "total_job_share", "is_multi_job")
 
 
 @query(_ctx + " SELECT host_id, job_id, SUM(cpus) AS share FROM x GROUP BY ALL")
 def cpu_share_merge(spark, d):
-    x = master.expand_jobs(jobs(spark, d).where("cpus <= 16"), "start_time", "end_time", "1 day", 24 * 60)
+    x = master.expand_jobs(jobs(spark, d), "start_time", "end_time", "1 day", 24 * 60)
     c = master.job_context(x, ["host_id", "ts"], "job_id", "cpus")
     return master.share_per_job(c, ["host_id"])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 import pytest
 
 from pulsegrid.plans import catalog
@@ -24,3 +26,28 @@ def test_overlaps_of_all_hosts(spark, few_jobs):
         n = sum(a.host_id == b.host_id and a.start_time <= b.end_time and a.end_time >= b.start_time for b in tasks)
         want[a.job_id, a.task] = want.get((a.job_id, a.task), 0) + n
     assert {(r.job_a, r.task_a): r.n_overlaps for r in catalog.queries()["interval_overlap"](spark, d).collect()} == want
+
+
+def test_job_context_has_all_jobs(spark, few_jobs):
+    d, tasks = few_jobs
+    assert max(t.cpus for t in tasks) > 32
+    active: dict = {}
+    count: dict = {}
+    for t in tasks:
+        day = t.start_time.replace(hour=0, minute=0, second=0, microsecond=0)
+        while day <= t.end_time:
+            active.setdefault((t.host_id, day), set()).add((t.job_id, t.cpus))
+            count.setdefault((t.host_id, day), []).append(t.cpus)
+            day += timedelta(days=1)
+    share: dict = {}
+    want = {}
+    for (host, day), found in active.items():
+        found = sorted(found)
+        for job, cpus in found:
+            share[host, job] = share.get((host, job), 0) + cpus
+        want[host, day] = ("|".join(str(j) for j, _ in found), len(found), *found[0], sum(c for _, c in found), len(found) > 1)
+    run = lambda name: catalog.queries()[name](spark, d).collect()
+    columns = ("jobs", "active_job_count", "primary_job_id", "primary_job_share", "total_job_share", "is_multi_job")
+    assert {(r.host_id, r.ts): tuple(r[c] for c in columns) for r in run("job_context_per_bucket")} == want
+    assert {(r.host_id, r.job_id): r.share for r in run("cpu_share_merge")} == share
+    assert {(r.host_id, r.ts): (r.n, r.cpus) for r in run("job_minute_expand")} == {k: (len(v), sum(v)) for k, v in count.items()}
