@@ -36,6 +36,7 @@ _MARKS = "".join(c for c in string.punctuation if c != "'")  # an apostrophe may
 _CONTEXT = re.compile("[\u03a3\u0130]")  # lower-cased by context, or to two characters
 #: Chunks a worker keeps: twice the usual number, since new words cost most here.
 CACHE = 800_000
+_words: dict[str, _Words] = {}
 _codecs: dict[str, ChunkIds] = {}
 
 
@@ -57,7 +58,8 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # chunks hold no added token; lower-cased ones may look so
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.marks: dict[str, list[int]] = {"": []}
@@ -73,6 +75,14 @@ class _Words:
     def slow(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        """Ids of uncut texts by the library's default, which finds added tokens inside them."""
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return self.slow(texts)
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found: list = [None] * len(chunks)
         rest = []
@@ -116,12 +126,32 @@ def _split(text: str) -> list[str]:
 
 def _codec(path: str) -> ChunkIds:
     """The tokenizer of a file, read once in each process. White space is dropped by it and ends every
-    token, so a text's ids are those of its runs without white space."""
+    token, so a text's ids are those of its runs without white space; added tokens are left to ``_encode``."""
     if path not in _codecs:
-        _codecs[path] = ChunkIds(_split, _Words(path).encode, CACHE)
+        _words[path] = _Words(path)
+        _codecs[path] = ChunkIds(_split, _words[path].encode, CACHE)
     return _codecs[path]
 
 
+def _encode(path: str, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids end to end, and where each text's begin (n + 1 values). Texts that hold an added token's literal
+    go through the whole tokenizer uncut and are not cached."""
+    codec = _codec(path)
+    words = _words[path]
+    held = [i for i, t in enumerate(texts) if t and any(a in t for a in words.added)]
+    if not held:
+        return codec(texts)
+    cut = list(texts)
+    for i in held:
+        cut[i] = None
+    ids, starts = codec(cut)
+    whole = words.whole([texts[i] for i in held])
+    sizes = np.zeros(len(texts), np.int64)
+    sizes[held] = list(map(len, whole))
+    ids = np.insert(ids, np.repeat(starts[held], sizes[held]), np.fromiter(chain.from_iterable(whole), np.int32, int(sizes.sum())))
+    return ids, starts + np.concatenate([[0], np.cumsum(sizes)])
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = END_ID) -> None:
     """Encode every whole text and write its ids, ``end_id`` appended, in ascending key order.
 
@@ -130,11 +160,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, part, done = _codec(tokenizer), TaskContext.get().partitionId(), 0
+        part, done = TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 rows = batch.slice(lo, 1000)
-                ids, starts = codec(rows.column(1).to_pylist())
+                ids, starts = _encode(tokenizer, rows.column(1).to_pylist())
                 if end_id is not None:
                     ids = np.insert(ids, starts[1:], end_id)
                     starts = starts + np.arange(len(starts))

@@ -51,3 +51,25 @@ def test_job_context_has_all_jobs(spark, few_jobs):
     assert {(r.host_id, r.ts): tuple(r[c] for c in columns) for r in run("job_context_per_bucket")} == want
     assert {(r.host_id, r.job_id): r.share for r in run("cpu_share_merge")} == share
     assert {(r.host_id, r.ts): (r.n, r.cpus) for r in run("job_minute_expand")} == {k: (len(v), sum(v)) for k, v in count.items()}
+
+
+def test_added_tokens_inside_texts(spark):
+    from tokenizers import Tokenizer
+
+    from pulsegrid.llm import queries, tokens
+    from pulsegrid.llm.scratch import Scratch
+
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = [
+        "end of text <|endoftext|> next", "Plain words", "<|ENDOFTEXT|> is none", None, "a<|startoftext|>b<|endoftext|><|endoftext|>C  d", "", "<|endoftext|>",
+        "<|endoftext |> nor this", "Last É 1.2 <|startoftext|>İx", "end",
+    ]
+    out = Scratch(spark, "t").path("ids")
+    tokens.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1), out, path)
+    got = {r.doc_id: (r.ids, r.start) for r in tokens.read(spark, out).collect()}
+    start = 0
+    for i, text in enumerate(texts):
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 1]
+        assert got[i] == (ids, start)
+        start += len(ids)
