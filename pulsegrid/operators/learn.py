@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows a forest is grown from at most; each tree takes ``SUBSAMPLE`` of them.
-SAMPLE, SUBSAMPLE, TREES = 20_000, 256, 100
+#: Trees of a forest, and the rows that each is grown from.
+SUBSAMPLE, TREES = 256, 200
 
 
 def _sample(df: DataFrame, features: Sequence[str], key: str, rows: int) -> np.ndarray:
@@ -19,6 +19,37 @@ def _sample(df: DataFrame, features: Sequence[str], key: str, rows: int) -> np.n
     return picked.toPandas().to_numpy(float)
 
 
+def _draws(df: DataFrame, features: Sequence[str], key: str, trees: int = TREES, subsample: int = SUBSAMPLE) -> list[np.ndarray]:
+    """For each tree the ``subsample`` rows of all with the least hashes of key and tree, missing values as 0.
+
+    Hashes under a bound that 8 deviations more rows than needed are expected to meet are collected, so the
+    driver gets a bounded number of rows of any table."""
+    n, most = df.count(), subsample + 8 * int(np.ceil(np.sqrt(subsample)))
+    if not n:
+        return []
+    least = -(2**63)
+    bound = F.lit(2**63 - 1 if n <= most else least + int(2.0**64 * most / n))
+    picked = df.withColumn("_t", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(F.col(key), t) <= bound)))
+    rows = picked.select("_t", F.xxhash64(key, "_t").alias("_h"), *[F.coalesce(F.col(c), F.lit(0.0)).cast("double").alias(c) for c in features]).toPandas()
+    rows = rows.sort_values(["_t", "_h", *features])
+    return [part[list(features)].to_numpy(float)[:subsample] for _, part in rows.groupby("_t")]
+
+
+def _quantile(df: DataFrame, column: str, q: float, step: float = 1e-5) -> float:
+    """Linear quantile of all values of a column in [-1, 0]. Values are counted by ranges of ``step`` first, then
+    those of the ranges that hold it, so that no task holds all distinct values."""
+    at = F.floor(F.col(column) / step)
+    ranges = sorted(tuple(r) for r in df.groupBy(at.alias("_at")).count().collect())  # one row per range
+    upto = np.cumsum([c for _, c in ranges])
+    place = q * (int(upto[-1]) - 1)
+    ranks = [int(np.floor(place)), int(np.ceil(place))]
+    held = [int(np.searchsorted(upto, k, side="right")) for k in ranks]
+    values = sorted(tuple(r) for r in df.where(at.isin([ranges[i][0] for i in held])).groupBy(column).count().collect())
+    ends = np.cumsum([c for _, c in values]) + int(upto[held[0]]) - ranges[held[0]][1]
+    low, high = (values[int(np.searchsorted(ends, k, side="right"))][0] for k in ranks)
+    return low + (high - low) * (place - ranks[0])
+
+
 def _path_constant(n: float) -> float:
     return 0.0 if n <= 1 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
 
@@ -32,6 +63,15 @@ class IsolationForest:
         self.depth = int(np.ceil(np.log2(self.psi)))
         self.trees = [self._grow(data[rng.choice(len(data), self.psi, replace=len(data) < self.psi)], rng) for _ in range(trees)] if len(data) else []
 
+    @classmethod
+    def of(cls, draws: Sequence[np.ndarray], seed: int = 42) -> IsolationForest:
+        """A forest with a tree for each table of rows, which are equally long."""
+        forest, rng = cls(np.zeros((0, 1))), np.random.default_rng(seed)
+        forest.psi = max(2, max(map(len, draws), default=0))
+        forest.depth = int(np.ceil(np.log2(forest.psi)))
+        forest.trees = [forest._grow(data, rng) for data in draws]
+        return forest
+
     def _grow(self, data: np.ndarray, rng: np.random.Generator):
         feature, cut, left, length = [], [], [], []
 
@@ -69,21 +109,23 @@ class IsolationForest:
 
 def isolation_scores(df: DataFrame, features: Sequence[str], key: str, host: str, contamination: float = 0.005) -> DataFrame:
     """Adds if_raw (decision value, anomalous under 0) and if_anomaly_score (1 for the host's most, 0 for its
-    least anomalous row; 0.5 if all are equal). Grown on a bounded sample; every row is scored by Arrow batches."""
-    data = _sample(df, features, key, SAMPLE)
-    forest = IsolationForest(data)
-    offset = float(np.quantile(forest.score(data), contamination)) if len(data) else 0.0
+    least anomalous row; 0.5 if all are equal). Each tree draws its rows from all; every row is scored by Arrow
+    batches, and the threshold is the ``contamination`` quantile of all scores."""
+    forest = IsolationForest.of(_draws(df, features, key))
     model = df.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
-    def decide(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    def score(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in parts:
-            yield pd.Series(model.value.score(np.stack([c.fillna(0).to_numpy(float) for c in columns], 1)) - offset)
+            yield pd.Series(model.value.score(np.stack([c.fillna(0).to_numpy(float) for c in columns], 1)))
+
+    scored = score(*[F.col(c).cast("double") for c in features])
+    offset = _quantile(df.select(scored.alias("_s")), "_s", contamination) if forest.trees else 0.0
 
     from pyspark.sql import Window
 
     w = Window.partitionBy(host)
-    out = df.withColumn("if_raw", decide(*[F.col(c).cast("double") for c in features]))
+    out = df.withColumn("if_raw", scored - F.lit(offset))
     low, high = F.min("if_raw").over(w), F.max("if_raw").over(w)
     return out.withColumn("if_anomaly_score", F.coalesce(1 - (F.col("if_raw") - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.5))).withColumn("if_is_anomaly", F.col("if_raw") < 0)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from pulsegrid.plans import catalog
@@ -73,3 +75,26 @@ def test_added_tokens_inside_texts(spark):
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 1]
         assert got[i] == (ids, start)
         start += len(ids)
+
+
+def test_isolation_threshold_covers_all_rows(spark):
+    from pulsegrid.operators import learn
+
+    rng = np.random.default_rng(0)
+    n = 25_001
+    df = spark.createDataFrame(pd.DataFrame({"i": range(n), "h": "a", "x": rng.normal(size=n), "y": rng.normal(size=n)}))
+    raw = learn.isolation_scores(df, ["x", "y"], "i", "h", 0.02).select("if_raw").toPandas()["if_raw"]
+    assert len(raw) == n and np.quantile(raw, 0.02) == pytest.approx(0, abs=1e-12)
+    assert learn.TREES == 200
+    draws = learn._draws(df, ["x", "y"], "i")
+    assert [len(d) for d in draws] == [learn.SUBSAMPLE] * 200
+    assert len(np.unique(np.concatenate(draws), axis=0)) > 20_000
+
+
+def test_isolation_of_few_rows(spark):
+    from pulsegrid.operators import learn
+
+    df = spark.createDataFrame([(i, "a", float(x), 1.0) for i, x in enumerate([0, 1, 2, 3, 90])], "i long, h string, x double, y double")
+    out = {r.i: r for r in learn.isolation_scores(df, ["x", "y"], "i", "h", 0.2).collect()}
+    assert out[4].if_is_anomaly and out[4].if_anomaly_score == 1 and not any(out[i].if_is_anomaly for i in range(4))
+    assert learn.isolation_scores(df.where("i < 0"), ["x", "y"], "i", "h").count() == 0
