@@ -26,6 +26,16 @@ def so_far(by: By, order: By) -> WindowSpec:
     return over(by, order).rowsBetween(Window.unboundedPreceding, 0)
 
 
+def with_lead(df: DataFrame, at: str, width: int, span: int = 30 * 86_400_000_000) -> DataFrame:
+    """Adds ``_part``, the stretch of time of a row, and ``_own``: true for the row itself, false for its copy in the
+    next stretch, which is made where a window of ``width`` reaches back to it. Windows over ``_part`` thus see all
+    that they reach, and no task holds the whole time; keep the rows with ``_own``. ``at`` and widths are microseconds."""
+    span = max(span, width)
+    part = F.floor(F.col(at) / span)
+    parts = F.when(F.col(at) >= (part + 1) * span - width, F.array(part, part + 1)).otherwise(F.array(part))
+    return df.withColumn("_parts", parts).select("*", F.explode("_parts").alias("_part")).withColumn("_own", F.col("_part") == F.col("_parts")[0]).drop("_parts")
+
+
 def not_nan(c: Column) -> Column:
     """NaN as NULL."""
     return F.when(~F.isnan(c), c)

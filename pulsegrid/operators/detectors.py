@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.windows import ewma, over, persistent, rolling, trailing
+from pulsegrid.functions.windows import ewma, over, persistent, rolling, trailing, with_lead
 
 
 def host_thresholds(df: DataFrame, host: str, columns: Sequence[str], fleet: float, clean: Column, factor: float = 1.10, q: float = 0.995) -> DataFrame:
@@ -100,15 +100,14 @@ def rack_balance(pdu: DataFrame, hosts: DataFrame, keys: Sequence[str], outlets:
 def fleet_relative(scores: DataFrame, host: str, ts: str, score: str, hours: int = 1, least: int = 5, margin: float = 0.20) -> DataFrame:
     """Adds rel and is_anomaly_rel: score against the rolling median over ``hours`` of the fleet's medians.
 
-    The fleet has one row per time, so its window is the one global order here: as many rows as there are
-    distinct times, whatever the number of hosts."""
+    The fleet has one row per time, whatever the number of hosts. Its window rolls on over the whole series, in
+    stretches that begin with the rows that the first windows reach back to."""
     fleet = scores.groupBy(ts).agg(F.percentile(score, 0.5).alias("_m"))
     seconds = F.unix_micros(F.col(ts).cast("timestamp"))
-    day = F.date_trunc("month", F.col(ts))
-    w = Window.partitionBy("_day").orderBy("_s").rangeBetween(-(hours * 3_600_000_000 - 1), 0)
-    fleet = fleet.withColumn("_s", seconds).withColumn("_day", day)
+    w = Window.partitionBy("_part").orderBy("_s").rangeBetween(-(hours * 3_600_000_000 - 1), 0)
+    fleet = with_lead(fleet.withColumn("_s", seconds), "_s", hours * 3_600_000_000)
     level = F.coalesce(F.when(F.count("_m").over(w) >= least, F.percentile("_m", 0.5).over(w)), F.col("_m"))
-    fleet = fleet.select(ts, level.alias("fleet_level"))
+    fleet = fleet.select(ts, level.alias("fleet_level"), "_own").where("_own").drop("_own")
     return scores.join(fleet, ts).withColumn("rel", F.col(score) - F.col("fleet_level")).withColumn("is_anomaly_rel", F.col("rel") > margin)
 
 

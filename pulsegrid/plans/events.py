@@ -43,9 +43,9 @@ def agreement_matrix(spark, d):
 @query(f"WITH {T}, h AS (SELECT date_trunc('hour', ts) AS ts, AVG(COALESCE(value > 50, FALSE)::INT) AS frac FROM t GROUP BY 1), m AS (SELECT ts, frac, AVG(frac) OVER (PARTITION BY date_trunc('month', ts) ORDER BY ts RANGE BETWEEN INTERVAL 21599999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS roll FROM h), k AS (SELECT *, roll >= 0.3 AS z FROM m), a AS (SELECT * FROM k WHERE z), b AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts)) <= 3600000000 THEN 0 ELSE 1 END AS c FROM a), s AS (SELECT *, SUM(c) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS p FROM b) SELECT MIN(ts) AS period_start, MAX(ts) AS period_end, ROUND(MAX(roll), 6) AS peak, COUNT(*) AS hours FROM s GROUP BY p ORDER BY peak DESC, period_start LIMIT 20")
 def suspicious_periods(spark, d):
     h = rows(spark, d).groupBy(F.date_trunc("hour", "ts").cast(NTZ).alias("ts")).agg(F.avg(F.coalesce(F.col("value") > 50, F.lit(False)).cast("double")).alias("frac"))
-    h = h.withColumn("m", F.date_trunc("month", "ts")).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    roll = F.avg("frac").over(Window.partitionBy("m").orderBy("us").rangeBetween(-(6 * 3_600_000_000 - 1), 0))
-    hot = h.withColumn("roll", roll).where("roll >= 0.3").withColumn("k", F.lit(0)).select("k", "ts", "roll")
+    h = W_.with_lead(h.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))), "us", 6 * 3_600_000_000)
+    roll = F.avg("frac").over(Window.partitionBy("_part").orderBy("us").rangeBetween(-(6 * 3_600_000_000 - 1), 0))
+    hot = h.withColumn("roll", roll).where("_own and roll >= 0.3").withColumn("k", F.lit(0)).select("k", "ts", "roll")
     s = fusion.sessions(hot, ["k"], "ts", 60)
     peaks = joins.point_in_interval(hot, s.drop("n_rows"), ["k"], "ts", "episode_start", "episode_end", True, 86400)
     out = peaks.groupBy("episode_start", "episode_end").agg(r(F.max("roll")).alias("peak"), F.count("*").alias("hours"))

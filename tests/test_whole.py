@@ -7,6 +7,7 @@ from datetime import timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrid.plans import catalog
 from pulsegrid.sources import adapters
@@ -98,3 +99,30 @@ def test_isolation_of_few_rows(spark):
     out = {r.i: r for r in learn.isolation_scores(df, ["x", "y"], "i", "h", 0.2).collect()}
     assert out[4].if_is_anomaly and out[4].if_anomaly_score == 1 and not any(out[i].if_is_anomaly for i in range(4))
     assert learn.isolation_scores(df.where("i < 0"), ["x", "y"], "i", "h").count() == 0
+
+
+def test_rolling_goes_on_over_months(spark, tmp_path):
+    """Hourly rows around the ends of months, and around those of the stretches that the window is dealt by."""
+    from pulsegrid.operators import detectors
+
+    rng = np.random.default_rng(1)
+    times = pd.date_range("2024-01-20", "2024-04-10", freq="h")[rng.random(1945) < 0.9]
+    series = pd.Series(rng.normal(size=len(times)), times)
+    want = series.rolling("6h", min_periods=5).median().fillna(series)
+    df = spark.createDataFrame(pd.DataFrame({"h": "a", "ts": times, "v": series.to_numpy()})).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = detectors.fleet_relative(df, "h", "ts", "v", 6).toPandas().set_index("ts").sort_index()
+    assert len(got) == len(series) and np.allclose(got["fleet_level"], want)
+
+    events = spark.createDataFrame(
+        pd.DataFrame({"event_id": range(1, len(times) + 1), "ts": times, "user_id": 1, "event_type": "view", "value": rng.uniform(0, 75, len(times))})
+    ).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    value = events.toPandas().set_index("ts").sort_index()
+    roll = ((value["value"] > 50) & (value["event_id"] % 17 != 0)).astype(float).rolling("6h", min_periods=1).mean()
+    hot = roll[roll >= 0.3].reset_index()
+    hot.columns = ["ts", "roll"]
+    episode = (hot["ts"].diff() > pd.Timedelta("1h")).cumsum()
+    want = hot.groupby(episode).agg(a=("ts", "min"), b=("ts", "max"), peak=("roll", "max"), n=("ts", "size"))
+    want = want.round({"peak": 6}).sort_values(["peak", "a"], ascending=[False, True]).head(20)
+    found = [tuple(r) for r in catalog.queries()["suspicious_periods"](spark, str(tmp_path)).collect()]
+    assert found == [(a.to_pydatetime(), b.to_pydatetime(), p, n) for a, b, p, n in want.itertuples(index=False)]
