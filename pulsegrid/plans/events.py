@@ -106,7 +106,7 @@ def kmeans_assign_given_centroids(spark, d):
 
 @query()
 def kmeans_fit(spark, d):
-    out, _ = learn.kmeans(table(spark, d, "embeddings"), "embedding", (4, 8))
+    out, _ = learn.kmeans(table(spark, d, "embeddings"), "embedding")
     return out.select("vec_id", "cluster_id")
 
 

@@ -126,3 +126,11 @@ def test_rolling_goes_on_over_months(spark, tmp_path):
     want = want.round({"peak": 6}).sort_values(["peak", "a"], ascending=[False, True]).head(20)
     found = [tuple(r) for r in catalog.queries()["suspicious_periods"](spark, str(tmp_path)).collect()]
     assert found == [(a.to_pydatetime(), b.to_pydatetime(), p, n) for a, b, p, n in want.itertuples(index=False)]
+
+
+def test_kmeans_finds_twelve_clusters(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    centres = 100 * np.eye(12)
+    rows = [(i, (centres[i % 12] + rng.normal(size=12)).tolist()) for i in range(360)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert catalog.queries()["kmeans_fit"](spark, str(tmp_path)).select("cluster_id").distinct().count() == 12
