@@ -25,19 +25,24 @@ SAMPLE_PER_LABEL = 2500
 THRESHOLD = 0.3
 
 
-def _representatives(parts, bands: int = 12, rows: int = 2) -> list[np.ndarray]:
-    """For the documents of each part, whether they are the first of their group of near copies."""
-    signatures = np.concatenate([minhash(shingle_sets(d, o), bands * rows) for d, o, _ in parts])
-    group = np.arange(len(signatures))
-    for band in range(bands):
-        key = signatures[:, band * rows : (band + 1) * rows].astype(np.uint64)
-        joint = key[:, 0] << np.uint64(32) | key[:, 1]
-        _, at = np.unique(joint, return_inverse=True)
-        for _ in range(2):
-            lowest = np.full(at.max(initial=0) + 1, len(group))
-            np.minimum.at(lowest, at, group)
-            group = np.minimum(group, lowest[at])
-    first = group == np.arange(len(group))
+def _representatives(parts, hashes: int = 64, least: float = 0.8) -> list[np.ndarray]:
+    """For the documents of each part, whether no earlier counted one of the same label is a near copy: shares
+    ``least`` of their shingles. Pairs whose minimum hashes agree that far, with much to spare, are compared whole."""
+    sets = [s for d, o, _ in parts for s in shingle_sets(d, o)]
+    label = np.concatenate([x for _, _, x in parts])
+    signatures = minhash(sets, hashes)
+    first = np.ones(len(sets), bool)
+    for k in (0, 1):
+        left = np.flatnonzero(label == k)
+        while len(left):
+            lead, left = left[0], left[1:]
+            near = (signatures[left] == signatures[lead]).sum(1) >= (least - 0.2) * hashes
+            for i in np.flatnonzero(near):
+                x, y = sets[lead], sets[left[i]]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near[i] = both >= least * (len(x) + len(y) - both)
+            first[left[near]] = False
+            left = left[~near]
     return np.split(first, np.cumsum([len(x) for _, _, x in parts])[:-1])
 
 

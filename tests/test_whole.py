@@ -6,6 +6,7 @@ from datetime import timedelta
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,16 @@ def test_kmeans_finds_twelve_clusters(spark, tmp_path):
     rows = [(i, (centres[i % 12] + rng.normal(size=12)).tolist()) for i in range(360)]
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert catalog.queries()["kmeans_fit"](spark, str(tmp_path)).select("cluster_id").distinct().count() == 12
+
+
+def test_toxic_edits_of_clean_documents_count():
+    """Only near copies of one label are merged: not other labels, not those that share half their text."""
+    from pulsegrid.llm import toxicity
+    from pulsegrid.llm.textnum import column_bytes
+
+    page = " ".join(f"w{i}" for i in range(100))
+    half = lambda x: " ".join([*page.split()[:60], *(f"{x}{i}" for i in range(40))])
+    texts = [page, page + " foul", page, page + " foul", half("a"), half("b"), half("c"), "", ""]
+    label = np.array([0, 1, 0, 1, 1, 1, 1, 0, 0])
+    (counted,) = toxicity._representatives([(*column_bytes(pa.array(texts)), label)])
+    assert counted.tolist() == [True, True, False, False, True, True, True, True, False]
