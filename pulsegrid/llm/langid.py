@@ -57,8 +57,9 @@ def fit(sample: pa.Table, epochs: int = 5, batch_bytes: int = 400_000) -> crf.Cr
     return model
 
 
-def predict(model: crf.Crf, data: np.ndarray, offsets: np.ndarray):
-    """Per document: state, mean marginal of it, words, and how often the best state changes inside."""
+def predict(model: crf.Crf, data: np.ndarray, offsets: np.ndarray, found: list | None = None):
+    """Per document: state, mean marginal of it, words, and how often the best state changes inside. ``found`` gets
+    (document, start, end, state) arrays: runs of words of one best state, with their character offsets."""
     n = len(offsets) - 1
     best, score = np.zeros(n, np.int64), np.zeros(n)
     words_of, changes = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -78,16 +79,24 @@ def predict(model: crf.Crf, data: np.ndarray, offsets: np.ndarray):
         top = gamma.argmax(1)
         turned = (top[1:] != top[:-1]) & (doc[1:] == doc[:-1])
         changes[i:j] = np.bincount(doc[1:][turned], minlength=j - i)
+        if found is not None:
+            raw, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+            new = np.flatnonzero(np.concatenate([[True], turned | (doc[1:] != doc[:-1])]))
+            last = np.concatenate([new[1:], [len(doc)]]) - 1
+            base = chars[offs[doc[new]]]
+            found.append((doc[new] + i, chars[words.starts[new]] - base, chars[words.ends[last]] - base, top[new]))
     return best, np.clip(score, 0, 1), words_of, changes
 
 
-def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train: Column | None = None, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
+def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train: Column | None = None, per_language: int = SAMPLE_PER_LANGUAGE, runs: bool = True) -> DataFrame:
     """Predict each document's language from its whole text.
 
     The field is fitted on a bounded sample of the rows that ``train`` admits and whose ``lang`` is not
     null. A null text, or one without a letter, is ``und`` with score 0; with no labelled row at all every
     document is. Repeated keys are scored row by row. Only ``key`` and ``text`` are read for predictions, so
-    further columns of any name do no harm. Returns key, lang_pred, score, n_words, n_switches.
+    further columns of any name do no harm. Returns key, lang_pred, score, n_words, n_switches and, unless ``runs``
+    is false, runs: (start, end, lang) of the stretches of one language, in characters; none where it is ``und``.
     """
     model = _fitted(docs, key, text, lang, train, per_language)
 
@@ -96,17 +105,22 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         names = np.array([*field.extra["names"], UNDETERMINED], object)
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
-            best, score, words, changes = predict(field, data, offsets)
+            stretches: list | None = [] if runs else None
+            best, score, words, changes = predict(field, data, offsets, stretches)
             known = np.array(batch.column(2).fill_null(False)) & (words > 0) & (len(names) > 1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names[np.where(known, best, len(names) - 1)], pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(words), pa.array(changes)],
-                names=[key, "lang_pred", "score", "n_words", "n_switches"],
-            )
+            columns = [batch.column(0), pa.array(names[np.where(known, best, len(names) - 1)], pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(words), pa.array(changes)]
+            if runs:
+                doc, start, end, state = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*stretches) if stretches else [()] * 4))
+                keep = known[doc]
+                at = np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=batch.num_rows))])
+                values = pa.StructArray.from_arrays([pa.array(start[keep].astype(np.int32)), pa.array(end[keep].astype(np.int32)), pa.array(names[state[keep]], pa.string())], names=["start", "end", "lang"])
+                columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values))
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "lang_pred", "score", "n_words", "n_switches", *["runs"] * runs])
         release()
 
     rows = docs.select(key, text, F.col(text).rlike(r"\p{L}").alias("has_letter"))
     kind = docs.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, n_words long, n_switches long")
+    return rows.mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, n_words long, n_switches long" + ", runs array<struct<start:int,end:int,lang:string>>" * runs)
 
 
 def _fitted(docs: DataFrame, key: str, text: str, lang: str, train: Column | None, per_language: int):

@@ -148,3 +148,16 @@ def test_toxic_edits_of_clean_documents_count():
     label = np.array([0, 1, 0, 1, 1, 1, 1, 0, 0])
     (counted,) = toxicity._representatives([(*column_bytes(pa.array(texts)), label)])
     assert counted.tolist() == [True, True, False, False, True, True, True, True, False]
+
+
+def test_languages_of_mixed_text(spark):
+    from pulsegrid.llm import langid
+
+    en, fr = "the cat sat on the mat with the dog and ate", "le chat était très fâché dans la maison avec été"
+    rows = [(i, en if i % 2 else fr, "en" if i % 2 else "fr") for i in range(1, 41)]
+    rows += [(50, f"{fr} {fr}\n{en} {en}", None), (51, "  ", None), (52, None, None), (53, fr, None)]
+    out = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    mixed = rows[40][1]
+    assert [(mixed[r.start : r.end], r.lang) for r in out[50].runs] == [(f"{fr} {fr}", "fr"), (f"{en} {en}", "en")]
+    assert all(len(r.runs) == (r.n_switches + 1 if r.lang_pred != "und" else 0) for r in out.values())
+    assert out[51].runs == out[52].runs == [] and [tuple(r) for r in out[53].runs] == [(0, len(fr), "fr")]
