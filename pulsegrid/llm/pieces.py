@@ -15,21 +15,24 @@ Characters without a piece become their UTF-8 bytes' pieces (byte fallback), or
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.chunks import ChunkIds, gather
 from pulsegrid.llm.scratch import release, small_batches
-from pulsegrid.llm.textnum import U64, column_bytes, mix
+from pulsegrid.llm.textnum import U64, column_bytes, mix, slices
 
 SPACE = "▁"
 _STEP = U64(0x100000001B3)
-_CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Characters of equal-length chunks that advance together at most.
+TOGETHER = 200_000
+#: Bytes of whole texts that are encoded at a time; a longer text is encoded alone.
+ENCODE_BYTES = 2 << 20
 
 
 class SortedKeys:
@@ -83,7 +86,7 @@ class PieceModel:
         table = [bytes([int(p[3:5], 16)]) if i in set(self.byte_ids.values()) else b"" if sp.is_control(i) else (" ⁇ " if i == self.unk else p.replace(SPACE, " ")).encode() for i, p in enumerate(self.pieces)]
         self.byte_at = np.concatenate([[0], np.cumsum([len(x) for x in table])])
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
-        self.chunks = ChunkIds(self.split, self.encode_chunks)
+        self.chunks = ChunkIds(self.cut, lambda found: self.encode_chunks([SPACE * m + c.replace(" ", SPACE) for c, m in found]))
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -93,11 +96,20 @@ class PieceModel:
         return int(mix(h)[0])
 
     @staticmethod
-    def split(text: str) -> list[str]:
-        """Chunks that no piece spans: marks of spaces, then everything up to the next one."""
-        if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
-            return _CHUNK.findall(SPACE + text.replace(" ", SPACE))
-        return [SPACE + w for w in text.split(" ")]
+    def cut(data: np.ndarray, offsets: np.ndarray):
+        """Chunks that no piece spans: spaces, then everything up to the next one. Marked: the first of a text,
+        before which a space is understood."""
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64), np.zeros(0, bool)
+        space = data == 32
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        heads = offsets[:-1][np.diff(offsets) > 0]
+        begins[heads] = True
+        starts = np.flatnonzero(begins)
+        opens = np.zeros(len(data), bool)
+        opens[heads] = True
+        return starts, np.append(starts[1:], len(data)), np.searchsorted(starts, offsets), opens[starts]
 
     def _merge(self, symbols: list[str]) -> list[str]:
         """Merge characters by rank (best score first, leftmost on ties)."""
@@ -193,7 +205,7 @@ class PieceModel:
         edges = np.flatnonzero(np.diff(lengths[order])) + 1
         flat, sizes = [], []
         for group in np.split(order, edges):
-            step = max(1, 400_000 // max(1, int(lengths[group[0]])))
+            step = max(1, TOGETHER // max(1, int(lengths[group[0]])))
             for lo in range(0, len(group), step):
                 ids, n = self._encode_equal([chunks[i] for i in group[lo : lo + step]])
                 flat.append(ids)
@@ -242,8 +254,11 @@ class PieceModel:
                 at += arc & 63
         return ids
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        return self.chunks(texts)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string column end to end, and where each text's begin (n + 1 values); null reads as empty."""
+        if pc.any(pc.match_substring(texts, SPACE)).as_py():
+            texts = pc.replace_substring(texts, SPACE, " ")
+        return self.chunks(*column_bytes(texts))
 
     def decode(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of id runs and where each begins; the mark before the first word is left out."""
@@ -278,9 +293,10 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = model(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 400):
-                part = batch.slice(lo, 400)
-                ids, starts = codec.encode(part.column(1).to_pylist())
+            whole = column_bytes(batch.column(1))[1]
+            for lo, hi in slices(whole, ENCODE_BYTES):
+                part = batch.slice(lo, hi - lo)
+                ids, starts = codec.encode(part.column(1))
                 data, at = codec.decode(ids, starts)
                 raw, offsets = column_bytes(part.column(1))
                 if len(raw) == len(data) and np.array_equal(at, offsets) and np.array_equal(raw, data):

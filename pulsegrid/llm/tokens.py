@@ -18,24 +18,29 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.chunks import ChunkIds
 from pulsegrid.llm.scratch import release, small_batches
+from pulsegrid.llm.textnum import LOWER, column_bytes, slices, spans
 
 END_ID = 1
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 5_000
 
-_ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to Python, not to the tokenizer
-_CHUNK = re.compile(r"[^ \t\r\n]+")
 _MARKS = "".join(c for c in string.punctuation if c != "'")  # an apostrophe may begin a word of its own
 _CONTEXT = re.compile("[\u03a3\u0130]")  # lower-cased by context, or to two characters
-#: Chunks a worker keeps: twice the usual number, since new words cost most here.
+#: Chunks a worker keeps: more than the usual number, since new words cost most here.
 CACHE = 800_000
+#: Bytes of whole texts that are encoded at a time; a longer text is encoded alone.
+ENCODE_BYTES = 2 << 20
+#: Bytes that no token spans; other white space stays inside chunks, which the whole tokenizer then splits.
+_INSIDE = np.ones(256, bool)
+_INSIDE[[9, 10, 13, 32]] = False
 _words: dict[str, _Words] = {}
 _codecs: dict[str, ChunkIds] = {}
 
@@ -75,15 +80,16 @@ class _Words:
     def slow(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        """Ids of uncut texts by the library's default, which finds added tokens inside them."""
+    def whole(self, text: str) -> list[int]:
+        """Ids of an uncut text by the library's default, which finds added tokens inside it."""
         self.tokenizer.encode_special_tokens = False
         try:
-            return self.slow(texts)
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
         finally:
             self.tokenizer.encode_special_tokens = True
 
-    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, chunks: list[tuple[str, bool]]) -> tuple[np.ndarray, np.ndarray]:
+        chunks = [c for c, _ in chunks]
         found: list = [None] * len(chunks)
         rest = []
         tokenize = self.model.tokenize
@@ -117,38 +123,40 @@ class _Words:
         return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
 
 
-def _split(text: str) -> list[str]:
-    """Runs without white space. The tokenizer lower-cases; doing so first for ASCII leaves fewer distinct runs."""
-    if text.isascii():
-        text = text.lower()
-    return _CHUNK.findall(text) if _ODD_SPACE.search(text) else text.split()
+def _cut(data: np.ndarray, offsets: np.ndarray):
+    """Runs of bytes without white space."""
+    return *spans(data, offsets, _INSIDE), None
 
 
 def _codec(path: str) -> ChunkIds:
     """The tokenizer of a file, read once in each process. White space is dropped by it and ends every
-    token, so a text's ids are those of its runs without white space; added tokens are left to ``_encode``."""
+    token, so a text's ids are those of its runs without white space; added tokens are left to ``encode``."""
     if path not in _codecs:
         _words[path] = _Words(path)
-        _codecs[path] = ChunkIds(_split, _words[path].encode, CACHE)
+        _codecs[path] = ChunkIds(_cut, _words[path].encode, CACHE)
     return _codecs[path]
 
 
-def _encode(path: str, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """All ids end to end, and where each text's begin (n + 1 values). Texts that hold an added token's literal
-    go through the whole tokenizer uncut and are not cached."""
-    codec = _codec(path)
-    words = _words[path]
-    held = [i for i, t in enumerate(texts) if t and any(a in t for a in words.added)]
-    if not held:
-        return codec(texts)
-    cut = list(texts)
-    for i in held:
-        cut[i] = None
-    ids, starts = codec(cut)
-    whole = words.whole([texts[i] for i in held])
+def encode(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a string column end to end, and where each text's begin (n + 1 values); null reads as empty.
+
+    Texts that hold an added token's literal go through the whole tokenizer uncut and are not cached. The
+    tokenizer lower-cases; doing so first for A to Z leaves fewer distinct chunks.
+    """
+    codec, words = _codec(path), _words[path]
+    held = np.zeros(len(texts), bool)
+    for literal in words.added:
+        held |= np.array(pc.fill_null(pc.match_substring(texts, literal), False))
+    if not held.any():
+        data, offsets = column_bytes(texts)
+        return codec(LOWER[data], offsets)
+    data, offsets = column_bytes(pc.if_else(pa.array(held), "", texts))
+    ids, starts = codec(LOWER[data], offsets)
+    where = np.flatnonzero(held)
+    whole = [words.whole(texts[int(i)].as_py()) for i in where]
     sizes = np.zeros(len(texts), np.int64)
-    sizes[held] = list(map(len, whole))
-    ids = np.insert(ids, np.repeat(starts[held], sizes[held]), np.fromiter(chain.from_iterable(whole), np.int32, int(sizes.sum())))
+    sizes[where] = list(map(len, whole))
+    ids = np.insert(ids, np.repeat(starts[where], sizes[where]), np.fromiter(chain.from_iterable(whole), np.int32, int(sizes.sum())))
     return ids, starts + np.concatenate([[0], np.cumsum(sizes)])
 
 
@@ -162,9 +170,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                rows = batch.slice(lo, 1000)
-                ids, starts = _encode(tokenizer, rows.column(1).to_pylist())
+            for lo, hi in slices(column_bytes(batch.column(1))[1], ENCODE_BYTES):
+                rows = batch.slice(lo, hi - lo)
+                ids, starts = encode(tokenizer, rows.column(1))
                 if end_id is not None:
                     ids = np.insert(ids, starts[1:], end_id)
                     starts = starts + np.arange(len(starts))
