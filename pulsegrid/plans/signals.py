@@ -141,7 +141,7 @@ def point_in_interval(spark, d):
     return joins.point_in_interval(rows(spark, d), spans, ["hostname"], "ts", "a", "b").groupBy("event_id").agg(F.count("x").alias("n_open"))
 
 
-@query(f"WITH {J}, o AS (SELECT * FROM j WHERE host_id % 10 = 0) SELECT a.job_id AS job_a, a.task AS task_a, COUNT(*) AS n_overlaps FROM o a JOIN o b ON a.host_id = b.host_id AND a.start_time <= b.end_time AND a.end_time >= b.start_time GROUP BY ALL")
+@query(f"WITH {J} SELECT a.job_id AS job_a, a.task AS task_a, COUNT(*) AS n_overlaps FROM j a JOIN j b ON a.host_id = b.host_id AND a.start_time <= b.end_time AND a.end_time >= b.start_time GROUP BY ALL")
 def interval_overlap(spark, d):
     a = jobs(spark, d).select("host_id", F.col("job_id").alias("job_a"), F.col("task").alias("task_a"), F.col("start_time").alias("sa"), F.col("end_time").alias("ea"))
     b = a.select("host_id", F.col("sa").alias("sb"), F.col("ea").alias("eb"))
@@ -209,13 +209,13 @@ def sensor_silence(spark, d):
 # Job timeline
 
 
-@query(f"WITH {J}, x AS (SELECT host_id, job_id, cpus, unnest(generate_series(date_trunc('day', start_time), date_trunc('day', end_time), INTERVAL 1 DAY)) AS ts FROM j WHERE cpus <= 32) SELECT host_id, ts, COUNT(*) AS n, SUM(cpus) AS cpus FROM x GROUP BY ALL")
+@query(f"WITH {J}, x AS (SELECT host_id, job_id, cpus, unnest(generate_series(date_trunc('day', start_time), date_trunc('day', end_time), INTERVAL 1 DAY)) AS ts FROM j) SELECT host_id, ts, COUNT(*) AS n, SUM(cpus) AS cpus FROM x GROUP BY ALL")
 def job_minute_expand(spark, d):
     x = master.expand_jobs(jobs(spark, d), "start_time", "end_time", "1 day", 24 * 60)
     return x.groupBy("host_id", "ts").agg(F.count("*").alias("n"), F.sum("cpus").alias("cpus"))
 
 
-_ctx = f"WITH {J}, x AS (SELECT DISTINCT host_id, job_id, cpus, unnest(generate_series(date_trunc('day', start_time), date_trunc('day', end_time), INTERVAL 1 DAY)) AS ts FROM j WHERE cpus <= 16), c AS (SELECT host_id, ts, list(job_id ORDER BY job_id, cpus) AS jl, list(cpus ORDER BY job_id, cpus) AS cl FROM x GROUP BY ALL)"
+_ctx = f"WITH {J}, x AS (SELECT DISTINCT host_id, job_id, cpus, unnest(generate_series(date_trunc('day', start_time), date_trunc('day', end_time), INTERVAL 1 DAY)) AS ts FROM j), c AS (SELECT host_id, ts, list(job_id ORDER BY job_id, cpus) AS jl, list(cpus ORDER BY job_id, cpus) AS cl FROM x GROUP BY ALL)"
 
 
 @query(_ctx + " SELECT host_id, ts, array_to_string(jl, '|') AS jobs, CAST(len(jl) AS BIGINT) AS active_job_count, jl[1] AS primary_job_id, cl[1] AS primary_job_share, list_sum(cl) AS total_job_share, len(jl) > 1 AS is_multi_job FROM c")
