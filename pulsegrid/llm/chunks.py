@@ -11,10 +11,12 @@ from collections.abc import Callable
 
 import numpy as np
 
-from pulsegrid.llm.textnum import SLICE_BYTES, U64, Hasher
+from pulsegrid.llm.textnum import U64, Hasher
 
 #: Chunks kept in a worker, some 50 bytes each; beyond it the cache starts anew.
 CACHE = 250_000
+#: Bytes hashed at a time, some 30 bytes of arrays each.
+HASH_BYTES = 256 << 10
 _MARK = U64(0x9E3779B97F4A7C15)
 
 
@@ -22,7 +24,10 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     """``flat[s : s + n]`` of every start and size, end to end."""
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.arange(total) + np.repeat(starts - ends + sizes, sizes)]
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64  # half the memory
+    at = np.repeat((starts - ends + sizes).astype(kind), sizes)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
 
 
 class ChunkIds:
@@ -42,11 +47,11 @@ class ChunkIds:
         self.starts = np.zeros(0, np.int64)
 
     def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Of chunk ranges, some ``SLICE_BYTES`` of bytes at a time."""
+        """Of chunk ranges, some ``HASH_BYTES`` of bytes at a time."""
         out = np.empty(len(starts), U64)
         i = 0
         while i < len(starts):
-            j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE_BYTES, side="right")))
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + HASH_BYTES, side="right")))
             base = starts[i]
             out[i:j] = Hasher(data[base : ends[j - 1]])(starts[i:j] - base, ends[i:j] - base)
             i = j

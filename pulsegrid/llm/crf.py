@@ -16,6 +16,8 @@ import numpy as np
 from pulsegrid.llm.textnum import LETTER_WORDS, LOWER, U64, Hasher, mix, spans
 
 BLOCK = 48
+#: Bytes of whole texts whose marginals are taken at a time, some 60 bytes of arrays each; a longer text is taken alone.
+FIELD_BYTES = 256 << 10
 
 
 @dataclass

@@ -63,7 +63,7 @@ def predict(model: crf.Crf, data: np.ndarray, offsets: np.ndarray, found: list |
     n = len(offsets) - 1
     best, score = np.zeros(n, np.int64), np.zeros(n)
     words_of, changes = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for i, j in slices(offsets):
+    for i, j in slices(offsets, crf.FIELD_BYTES):
         words = model.features.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         counts = np.diff(words.first)
         words_of[i:j] = counts

@@ -33,6 +33,7 @@ _STEP = U64(0x100000001B3)
 TOGETHER = 200_000
 #: Bytes of whole texts that are encoded at a time; a longer text is encoded alone.
 ENCODE_BYTES = 2 << 20
+DECODE_BYTES = 256 << 10
 
 
 class SortedKeys:
@@ -282,6 +283,20 @@ def model(path: str) -> PieceModel:
     return _models[path]
 
 
+def _round_trip(codec: PieceModel, texts: pa.Array, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether the ids of each text decode to its bytes."""
+    raw, offsets = column_bytes(texts)
+    same = np.zeros(len(texts), bool)
+    for i, j in slices(offsets, DECODE_BYTES):
+        data, at = codec.decode(ids[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
+        given, begin = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        if len(given) == len(data) and np.array_equal(at, begin) and np.array_equal(given, data):
+            same[i:j] = True
+        else:
+            same[i:j] = [np.array_equal(given[begin[k] : begin[k + 1]], data[at[k] : at[k + 1]]) for k in range(j - i)]
+    return same
+
+
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Piece ids of each whole text, and whether decoding them gives the text back.
 
@@ -297,12 +312,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             for lo, hi in slices(whole, ENCODE_BYTES):
                 part = batch.slice(lo, hi - lo)
                 ids, starts = codec.encode(part.column(1))
-                data, at = codec.decode(ids, starts)
-                raw, offsets = column_bytes(part.column(1))
-                if len(raw) == len(data) and np.array_equal(at, offsets) and np.array_equal(raw, data):
-                    same = np.ones(part.num_rows, bool)
-                else:
-                    same = np.array([np.array_equal(raw[offsets[i] : offsets[i + 1]], data[at[i] : at[i + 1]]) for i in range(part.num_rows)], bool)
+                same = _round_trip(codec, part.column(1), ids, starts)
                 lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(starts)), pa.array(same)], names=[key, "ids", "n_pieces", "round_trip"])
         release()

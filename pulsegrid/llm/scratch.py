@@ -91,7 +91,7 @@ class Scratch:
         self.paths[name] = where
         if old:
             self.paths[f"{name}-{uuid.uuid4().hex[:8]}"] = old
-        return self.spark.read.parquet(where)
+        return self.spark.read.schema(df.schema).parquet(where)  # named, else a job looks for it
 
     def close(self, *keep: str) -> None:
         for name in [x for x in self.paths if x not in keep]:

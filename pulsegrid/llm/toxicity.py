@@ -145,7 +145,7 @@ def score_documents(model: crf.Crf, data: np.ndarray, offsets: np.ndarray):
     n = len(offsets) - 1
     x = np.full(n, -12.0)
     spans: list[list[dict]] = [[] for _ in range(n)]
-    for i, j in slices(offsets):
+    for i, j in slices(offsets, crf.FIELD_BYTES):
         raw, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         words = model.features.words(raw, offs)
         if not len(words.which):
