@@ -210,7 +210,7 @@ def test_toxicity_separates(spark):
 def test_contamination(spark, docs, texts):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [tuple(r) for r in bench.select("item_id", "text").collect()] + [(900, "Short, item three"), (901, "short ITEM three!"), (902, ""), (None, "of the and to in that is was for on it")]
-    more = {100_001: "a short item: three short item three", 100_002: None, 100_003: "x " + items[0][1] + " y " + items[0][1]}
+    more = {100_001: "a short item: three short item three", 100_002: None, 100_003: "x " + items[0][1] + " y " + items[0][1], None: "null key: " + items[1][1]}
     everything = texts | more
     df = docs.select("doc_id", "text").union(spark.createDataFrame(list(more.items()), "doc_id long, text string"))
     b = spark.createDataFrame(items, "item_id long, text string")
