@@ -3,8 +3,11 @@
 Each host's paths form a tree of segments. Level by level, the children of a node that are too many and too
 rare to be names are generalised into typed wildcards ({num}, {hex}, {str}); the literal children that have
 enough labels and whose share of bad labels does not differ significantly from that of all the node's
-labels merge into one branch. A template is rejected if the share of bad labels among its URLs, smoothed
-towards the share of all labels, reaches ``REJECT``; one without labels is allowed. Counts are pre-aggregated per host and path.
+labels merge into one branch. A branch's purity is its share of bad labels, smoothed towards its parent's
+purity, and a host's towards the share of all labels (``PRIOR`` at most), so that a branch without labels
+has its parent's. A template is rejected if its purity reaches ``REJECT``. A node with a single path is a
+leaf, so levels end with the last node that branches, however deep paths go. Counts are pre-aggregated per
+host and path.
 """
 
 from __future__ import annotations
@@ -16,14 +19,12 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.scratch import Scratch
 
-#: Levels of the tree; what lies deeper is one segment of the last level.
-DEPTH = 6
 #: A node with more distinct children than this, and than the root of its URLs, has variable children.
 CHILDREN = 8
 #: A child with this share of its node's URLs (and 20 of them) is a name even so.
 SHARE = 0.05
 MERGE_LABELS, MERGE_Z = 5, 1.96
-SMOOTHING, REJECT = 2.0, 0.8
+SMOOTHING, REJECT, PRIOR = 2.0, 0.8, 0.5
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -53,25 +54,47 @@ def _wildcard(segment: Column) -> Column:
     return F.concat(kind, F.when(segment == "", "").otherwise(ending))
 
 
+def _purity(bad: Column, labels: Column, above: Column, labels_above: Column) -> Column:
+    """Smoothed share; a branch with all of its parent's labels, or none, tells nothing that the parent's did not."""
+    return F.when((labels == 0) | (labels == labels_above), above).otherwise((bad + SMOOTHING * above) / (labels + SMOOTHING))
+
+
 def templates(paths: DataFrame, scratch: Scratch) -> DataFrame:
-    """Paths (host, path, n, bad, good) with the template that each path follows on its host."""
-    parts = F.split(F.expr("substring(path, 2)"), "/")
-    segments = F.when(F.size(parts) <= DEPTH, parts).otherwise(F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.array_join(F.slice(parts, DEPTH, 1_000_000), "/"))))
-    rows = scratch.put(paths.select("*", segments.alias("segs"), F.lit("").alias("template")), "level")
-    deepest = min(DEPTH, rows.agg(F.max(F.size("segs"))).collect()[0][0] or 0)
-    for level in range(deepest):
-        live = rows.select("*", F.get("segs", F.lit(level)).alias("seg"))
-        child = scratch.put(live.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("cn"), F.sum("bad").alias("cb"), F.sum("good").alias("cg")), "child")
-        node = scratch.put(child.groupBy("host", "template").agg(F.count("*").alias("k"), F.sum("cn").alias("nn"), F.sum("cb").alias("nb"), F.sum("cg").alias("ng")), "node")
+    """Paths (host, path, n, bad, good) with the template that each path follows on its host, and its purity."""
+    totals = paths.agg(F.sum("bad"), F.sum(F.col("bad") + F.col("good"))).collect()[0]
+    prior = F.lit(min(PRIOR, (totals[0] or 0) / totals[1]) if totals[1] else 0.0)
+    host = paths.groupBy("host").agg(F.sum("bad").alias("b"), F.sum(F.col("bad") + F.col("good")).alias("labels"), F.count("*").alias("paths"))
+    host = scratch.put(host.select("host", "labels", "paths", _purity(F.col("b"), F.col("labels"), prior, F.lit(-1)).alias("purity")), "hosts")
+    # rest: segments below the node that the row has come to; purity, labels and paths are that node's.
+    rows = paths.select("host", "path", "n", "bad", "good", F.split(F.expr("substring(path, 2)"), "/").alias("rest"), F.lit("").alias("template")).join(host, "host")
+    rows, done = scratch.put(rows, "level"), None
+    ended = (F.size("rest") == 0) | (F.col("paths") == 1)
+    while True:
+        leaf = F.when(F.size("rest") > 0, F.concat("template", F.lit("/"), F.array_join("rest", "/"))).otherwise(F.col("template"))
+        over = rows.where(ended).select("host", "path", leaf.alias("template"), "purity")
+        done = over if done is None else done.unionByName(over)
+        live = rows.where(~ended).withColumn("seg", F.col("rest")[0])
+        if live.isEmpty():
+            return done
+        inside = ["host", "template"]
+        child = scratch.put(live.groupBy(*inside, "seg").agg(F.sum("n").alias("cn"), F.sum("bad").alias("cb"), F.sum("good").alias("cg"), F.count("*").alias("cp")), "child")
+        node = scratch.put(child.groupBy(*inside).agg(F.count("*").alias("k"), F.sum("cn").alias("nn"), F.sum("cb").alias("nb"), F.sum("cg").alias("ng")), "node")
         named = (F.col("k") <= F.greatest(F.lit(CHILDREN), F.sqrt("nn"))) | ((F.col("cn") >= 20) & (F.col("cn") >= SHARE * F.col("nn")))
         labels, share = F.col("cb") + F.col("cg"), F.col("nb") / F.nullif(F.col("nb") + F.col("ng"), F.lit(0))
         gap = F.abs(F.col("cb") / F.nullif(labels, F.lit(0)) - share)
         alike = (labels >= MERGE_LABELS) & (labels < F.col("nb") + F.col("ng")) & (gap <= MERGE_Z * F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) / labels))
         part = F.when(~named, _wildcard(F.col("seg"))).when(alike, F.lit("{alike}")).otherwise(F.col("seg"))
-        step = scratch.put(child.join(node, ["host", "template"]).select("host", "template", "seg", part.alias("part")), "step")
-        joined = live.join(step, ["host", "template", "seg"], "left")
-        rows = scratch.put(joined.select(*paths.columns, "segs", F.when(F.col("part").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.col("part"))).alias("template")), "level")
-    return rows.drop("segs")
+        step = scratch.put(child.join(node, inside).select(*inside, "seg", part.alias("part"), "cb", "cg", "cp"), "step")
+        branch = step.groupBy(*inside, "part").agg(F.sum("cb").alias("b"), F.sum(F.col("cb") + F.col("cg")).alias("l"), F.sum("cp").alias("p"))
+        step = scratch.put(step.select(*inside, "seg", "part").join(branch, [*inside, "part"]), "branch")
+        joined = live.join(step, [*inside, "seg"])
+        rows = scratch.put(
+            joined.select(
+                "host", "path", "n", "bad", "good", F.slice("rest", F.lit(2), F.size("rest")).alias("rest"), F.concat("template", F.lit("/"), "part").alias("template"),
+                F.col("l").alias("labels"), F.col("p").alias("paths"), _purity(F.col("b"), F.col("l"), F.col("purity"), F.col("labels")).alias("purity"),
+            ),
+            "level",
+        )
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_id", url: str = "url", labels: DataFrame | None = None, label_key: str | None = None, bad: Column | None = None) -> DataFrame:
@@ -93,14 +116,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_
         marked = rows.join(marks, "key", "left")
     rows = scratch.put(marked, "rows")
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), (F.count("bad") - F.coalesce(F.sum("bad"), F.lit(0))).alias("good"))
-    shaped = templates(scratch.put(paths, "paths"), scratch)
-    totals = shaped.agg(F.sum("bad"), F.sum(F.col("bad") + F.col("good"))).collect()[0]
-    prior = (totals[0] or 0) / totals[1] if totals[1] else 0.0
-    judged = shaped.groupBy("host", "template").agg(F.sum("bad").alias("b"), F.sum(F.col("bad") + F.col("good")).alias("l"))
-    judged = scratch.put(judged.select("host", "template", ((F.col("b") + SMOOTHING * prior) / (F.col("l") + SMOOTHING)).alias("purity"), F.col("l").alias("labelled")), "judged")
-    by_path = scratch.put(shaped.join(judged, ["host", "template"]).select("host", "path", "template", "purity", "labelled"), "by_path")
+    by_path = scratch.put(templates(scratch.put(paths, "paths"), scratch), "by_path")
     out = rows.join(by_path, ["host", "path"]).select(
-        F.col("key").alias(key), "host", "path", "rule", F.coalesce("said", F.when((F.col("purity") >= REJECT) & (F.col("labelled") > 0), "block").otherwise("allow")).alias("verdict"), "template", "purity"
+        F.col("key").alias(key), "host", "path", "rule", F.coalesce("said", F.when(F.col("purity") >= REJECT, "block").otherwise("allow")).alias("verdict"), "template", "purity"
     )
     result = scratch.put(out, "result")
     scratch.close("result")

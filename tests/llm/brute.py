@@ -56,3 +56,53 @@ def contamination(texts: dict, items: list):
                     found |= windows[x]
         out[key] = (len(w), len(hit), sorted(found))
     return out
+
+
+def url_templates(paths: dict):
+    """(template, purity) of each (host, path), from paths: (host, path) to (n, bad, good). Plain recursion over the tree."""
+    out = {}
+
+    def wildcard(seg):
+        if seg == "":
+            return ""
+        end = re.search(r"(\.[A-Za-z]{2,5})$", seg)
+        stem = seg[: end.start()] if end else seg
+        kind = "{num}" if re.fullmatch(r"\d+", stem) else "{hex}" if re.fullmatch(r"[0-9a-fA-F-]{8,}", stem) else "{str}"
+        return kind + (end[0] if end else "")
+
+    def visit(rows, template, purity, labels):
+        """rows: ((host, path), remaining segments, n, bad, good)"""
+        if len(rows) == 1:
+            out[rows[0][0]] = (template + "".join("/" + x for x in rows[0][1]), purity)
+            return
+        children = {}
+        for r in rows:
+            if r[1]:
+                children.setdefault(r[1][0], []).append(r)
+            else:
+                out[r[0]] = (template, purity)
+        total = lambda group, i: sum(r[i] for r in group)
+        under = [r for g in children.values() for r in g]
+        nn, nb, ng = (total(under, i) for i in (2, 3, 4))
+        branches = {}
+        for seg, group in children.items():
+            cn, cb, cg = (total(group, i) for i in (2, 3, 4))
+            part = seg
+            if not (len(children) <= max(8, nn**0.5) or (cn >= 20 and cn >= 0.05 * nn)):
+                part = wildcard(seg)
+            elif 5 <= cb + cg < nb + ng:
+                share = nb / (nb + ng)
+                if abs(cb / (cb + cg) - share) <= 1.96 * (max(share * (1 - share), 1e-9) / (cb + cg)) ** 0.5:
+                    part = "{alike}"
+            branches.setdefault(part, []).extend((r[0], r[1][1:], *r[2:]) for r in group)
+        for part, group in branches.items():
+            b, n = total(group, 3), total(group, 3) + total(group, 4)
+            visit(group, template + "/" + part, purity if n in (0, labels) else (b + 2 * purity) / (n + 2), n)
+
+    bad, all_ = sum(x[1] for x in paths.values()), sum(x[1] + x[2] for x in paths.values())
+    prior = min(0.5, bad / all_) if all_ else 0.0
+    for host in {h for h, _ in paths}:
+        rows = [(k, k[1][1:].split("/"), *x) for k, x in paths.items() if k[0] == host]
+        b, n = sum(r[3] for r in rows), sum(r[3] + r[4] for r in rows)
+        visit(rows, "", (b + 2 * prior) / (n + 2) if n else prior, n)
+    return out

@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import components, contamination
+from brute import components, contamination, url_templates
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import chat, decontaminate, langid, neardup, phrases, pieces, queries, sampling, tokens, toxicity, urls, warc
@@ -118,6 +118,39 @@ def test_url_templates_learn(spark):
     assert {r.template for r in out.collect()} == {"/spam/{num}", "/news/{num}"}
 
 
+def test_url_tree_equals_plain_recursion(spark):
+    rng = np.random.default_rng(4)
+    pick = lambda *x: x[int(rng.integers(len(x)))]
+    rows = []
+    for i in range(1500):
+        host = pick("a.org", "b.org", "c.org", "d.net")
+        kind = pick("spam", "news", "blog", "deep", "odd")
+        tail = {"spam": f"spam/{i}", "news": f"news/{pick(2024, 2025)}/{i}.html", "blog": f"blog/{pick('x', 'y', 'z')}/post-{i % 40}", "deep": "/".join("ab"[int(b)] for b in rng.integers(0, 2, int(rng.integers(5, 12)))), "odd": pick("", "/", "x//y", f"{i:08x}")}[kind]
+        bad = bool(rng.random() < {"spam": 0.95, "news": 0.05, "blog": 0.5, "deep": 0.3, "odd": 0.5}[kind]) if host != "d.net" and rng.random() < 0.4 else None
+        rows.append((i, f"https://{host}/{tail}", bad))
+    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    labels = df.where("bad is not null").select(F.col("page_id").alias("k"), "bad")
+    got = urls.judge(df.drop("bad"), [], labels=labels, label_key="k", bad=F.col("bad")).collect()
+    paths: dict = {}
+    for _, url, bad in rows:
+        key = tuple(re.match(r"https://([^/]*)(.*)", url).groups())
+        n, b, g = paths.get(key, (0, 0, 0))
+        paths[key] = (n + 1, b + (bad is True), g + (bad is False))
+    want = url_templates(paths)
+    assert len(got) == len(rows)
+    for r in got:
+        template, purity = want[(r.host, r.path)]
+        assert (r.template, r.verdict) == (template, "block" if purity >= urls.REJECT else "allow") and abs(r.purity - purity) < 1e-12
+    assert {r.verdict for r in got} == {"allow", "block"}
+
+
+def test_url_unlabelled_branches_take_their_parents_purity(spark):
+    """Rules label two branches of a host as bad: its other branches are rejected, those of other hosts are not."""
+    rows = [(i, f"http://{'x.net' if i % 2 else 'y.org'}/{('es', 'fr', 'en')[i % 3]}/{i}") for i in range(120)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), queries.URL_RULES).where("rule is null")
+    assert {(r.host, r.verdict) for r in got.collect()} == {("x.net", "block"), ("y.org", "allow")}
+
+
 def test_phrases(spark, texts):
     got = {r.doc_id: r for r in queries.op6_phrase_fingerprints(spark, SF).collect()}
     keys = sorted(texts)
