@@ -39,7 +39,17 @@ def _runs(words: Column, length: int) -> Column:
 
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, w (words), n (their number). Keys are wrapped, so that null ones are equal to each other."""
-    return df.select(F.struct(F.col(key).alias("v")).alias("key"), words_of(F.col(text)).alias("w")).withColumn("n", F.size("w").cast("long"))
+    return _worded(df.select(F.struct(F.col(key).alias("v")).alias("key"), F.col(text).alias("text")))
+
+
+def _worded(df: DataFrame) -> DataFrame:
+    return df.select("key", words_of(F.col("text")).alias("w")).withColumn("n", F.size("w").cast("long"))
+
+
+def _full(values: Column, length: int) -> Column:
+    """The values at positions where ``length`` words begin. No filter on the number of words takes its place: one
+    would move below joins, and all texts would be split for it."""
+    return F.slice(values, F.lit(1), F.greatest(F.col("n").cast("int") - (length - 1), F.lit(0)))
 
 
 def _short_print(w: Column, x: Column, i: Column, length: int) -> Column:
@@ -49,19 +59,19 @@ def _short_print(w: Column, x: Column, i: Column, length: int) -> Column:
 def _prints(rows: DataFrame, lengths: list[int]) -> DataFrame:
     """(key, n, prints): the distinct fingerprints of a text, those of its short runs of these lengths included."""
     g, w = F.col("g"), F.col("w")
-    least = F.transform(F.slice(g, F.lit(1), F.greatest(F.col("n").cast("int") - (WINDOW - 1), F.lit(0))), lambda x, i: F.least(x, *[F.get(g, i + k) for k in range(1, WINDOW - GRAM + 1)]))
+    least = F.transform(_full(g, WINDOW), lambda x, i: F.least(x, *[F.get(g, i + k) for k in range(1, WINDOW - GRAM + 1)]))
     parts = [least]
-    short = lambda n: F.transform(F.slice(w, F.lit(1), F.greatest(F.col("n").cast("int") - (n - 1), F.lit(0))), lambda x, i: _short_print(w, x, i, n))
+    short = lambda n: F.transform(_full(w, n), lambda x, i: _short_print(w, x, i, n))
     parts += [short(n) for n in lengths]
     return rows.withColumn("g", _runs(w, GRAM)).select("key", "n", F.array_distinct(F.concat(*parts)).alias("prints"))
 
 
 def _spans(rows: DataFrame) -> DataFrame:
     """(key, pos, len, fp, g1, g2): each full window's position, fingerprint and the two run hashes that cover it."""
-    rows = rows.where(F.col("n") >= WINDOW).select("key", "n", _runs(F.col("w"), GRAM).alias("g"))
+    rows = rows.select("key", "n", _runs(F.col("w"), GRAM).alias("g"))
     g = F.col("g")
     span = F.transform(
-        F.slice(g, F.lit(1), F.col("n").cast("int") - (WINDOW - 1)),
+        _full(g, WINDOW),
         lambda x, i: F.struct(F.least(x, *[F.get(g, i + k) for k in range(1, WINDOW - GRAM + 1)]).alias("fp"), x.alias("g1"), F.get(g, i + (WINDOW - GRAM)).alias("g2")),
     )
     exploded = rows.select("key", F.posexplode(span).alias("pos", "s"))
@@ -71,10 +81,9 @@ def _spans(rows: DataFrame) -> DataFrame:
 def _short(rows: DataFrame, length: int) -> DataFrame:
     """The same for each run of ``length`` words, for items that short. g1 and g2 are two hashes of it."""
     w = F.col("w")
-    rows = rows.where(F.col("n") >= length)
     words = lambda x, i: [x, *[F.get(w, i + k) for k in range(1, length)]]
     runs = F.transform(
-        F.slice(w, F.lit(1), F.col("n").cast("int") - (length - 1)),
+        _full(w, length),
         lambda x, i: F.struct(_short_print(w, x, i, length).alias("fp"), F.xxhash64(*words(x, i)).alias("g1"), F.hash(*words(x, i)).cast("long").alias("g2")),
     )
     return rows.select("key", F.posexplode(runs).alias("pos", "s")).select("key", "pos", F.lit(length).alias("len"), "s.fp", "s.g1", "s.g2")
@@ -120,7 +129,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     shared = _matched(prints.select("key", F.explode("prints").alias("fp")), windows.select("fp").distinct(), ["fp"], small, "left_semi")
     shared = scratch.put(shared.select("key").distinct(), "shared")
     few = shared.count() <= BROADCAST_ROWS
-    suspects = rows.join(F.broadcast(shared) if few else shared, "key", "left_semi")
+    texts = docs.select(F.struct(F.col(key).alias("v")).alias("key"), F.col(text).alias("text"))
+    suspects = _worded(texts.join(F.broadcast(shared) if few else shared, "key", "left_semi"))  # split after the join
     hits = _matched(_all_spans(suspects, lengths), windows, ["len", "fp", "g1", "g2"], small).select("key", "pos", "len", "fp", "g1", "g2")
     hits = scratch.put(hits, "hits")
 
