@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes of sampled texts that are sent to the driver at most; those whose keys' hashes are largest are left out.
+SAMPLE_BYTES = 64 << 20
+
 
 def fold(key: str, parts: int):
     """crc32 of the key as text, modulo ``parts``; null for a null key."""
@@ -13,22 +16,28 @@ def fold(key: str, parts: int):
 
 
 def hashed_sample(keys: DataFrame, key: str, label: str, per_label: int) -> list[tuple]:
-    """At most ``per_label`` (key, label) rows of each label. Only keys travel; the bound is the caller's."""
-    labels = sorted(r[0] for r in keys.select(label).distinct().collect())
-    out: list[tuple] = []
-    for value in labels:
-        rows = keys.where(F.col(label) == F.lit(value)).select(key, label)
-        out += [tuple(r) for r in rows.orderBy(F.xxhash64(key), F.col(key)).limit(per_label).collect()]
-    return out
+    """At most ``per_label`` (key, label) rows of each label, in one pass: each task keeps so many of a label
+    before anything is shuffled. Only keys travel; the bound is the caller's."""
+    w = Window.partitionBy(label).orderBy(F.xxhash64(key), F.col(key))
+    rows = keys.where(F.col(label).isNotNull()).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= per_label)
+    return sorted((tuple(r) for r in rows.select(key, label, "_rank").collect()), key=lambda r: (r[2], r[1]))
 
 
-def texts_of(docs: DataFrame, key: str, text: str, chosen: list[tuple]) -> pa.Table:
-    """Whole texts of the chosen keys with their labels. ``chosen`` is bounded, so it is broadcast."""
+def texts_of(docs: DataFrame, key: str, text: str, chosen: list[tuple], most: int = SAMPLE_BYTES) -> pa.Table:
+    """Whole texts of the chosen keys with their labels, the first ones that fit into ``most`` bytes, and one at
+    least of each label. ``chosen`` is bounded, so it is broadcast; sizes are looked up before any text travels."""
     spark = docs.sparkSession
     if not chosen:
         return pa.table({"k": pa.array([], pa.int64()), "label": pa.array([], pa.string()), "text": pa.array([], pa.string())})
     kind = docs.schema[key].dataType.simpleString()
-    picked = spark.createDataFrame([(k, str(v)) for k, v in chosen], f"k {kind}, label string")
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(picked), "k")
-    table = rows.select("k", "label", "text").toArrow()
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
+    picked = lambda some: F.broadcast(spark.createDataFrame([(c[0], str(c[1])) for c in some], f"k {kind}, label string"))
+    sizes = dict(rows.join(picked(chosen), "k").groupBy("k").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))).collect())
+    kept, total, seen = [], 0, set()
+    for c in chosen:
+        total += sizes.get(c[0], 0)
+        if total <= most or c[1] not in seen:
+            kept.append(c)
+            seen.add(c[1])
+    table = rows.join(picked(kept), "k").select("k", "label", "text").toArrow()
     return table.sort_by("k")

@@ -273,3 +273,14 @@ def test_token_chunks_equal_the_library():
     ]
     ids, at = tokens.encode(path, pa.array(odd))
     assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(odd))] == [tk.encode(t or "", add_special_tokens=False).ids for t in odd]
+
+
+def test_samples_are_bounded_by_rows_and_bytes(spark):
+    rows = [(i, "ab"[i % 2], "x" * 10) for i in range(400)] + [(1000, None, "y")]
+    df = spark.createDataFrame(rows, "k long, label string, text string")
+    chosen = sampling.hashed_sample(df, "k", "label", 30)
+    assert {c[1]: sum(x[1] == c[1] for x in chosen) for c in chosen} == {"a": 30, "b": 30}
+    assert sampling.hashed_sample(df.repartition(7), "k", "label", 30) == chosen
+    found = sampling.texts_of(df, "k", "text", chosen, 200)
+    assert found.num_rows == 20 and set(found["k"].to_pylist()) == {c[0] for c in chosen[:20]}
+    assert sampling.texts_of(df, "k", "text", chosen, 1).num_rows == 2
