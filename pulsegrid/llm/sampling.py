@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of sampled texts that are sent to the driver at most; those whose keys' hashes are largest are left out.
@@ -16,11 +18,26 @@ def fold(key: str, parts: int):
 
 
 def hashed_sample(keys: DataFrame, key: str, label: str, per_label: int) -> list[tuple]:
-    """At most ``per_label`` (key, label) rows of each label, in one pass: each task keeps so many of a label
-    before anything is shuffled. Only keys travel; the bound is the caller's."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(key), F.col(key))
-    rows = keys.where(F.col(label).isNotNull()).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= per_label)
-    return sorted((tuple(r) for r in rows.select(key, label, "_rank").collect()), key=lambda r: (r[2], r[1]))
+    """(key, label) of the ``per_label`` rows of each label whose keys' hashes are least.
+
+    Labels are counted, then each label's rows under the hash that admits some more than so many are collected:
+    nothing is ranked in one task. Only keys travel; the bound is the caller's.
+    """
+    keys = keys.where(F.col(label).isNotNull())
+    counts = {r[0]: r[1] for r in keys.groupBy(label).count().collect()}  # a row per label
+    if not counts:
+        return []
+    wanted = per_label + 8 * math.sqrt(per_label) + 20
+    edges = F.create_map(*[F.lit(x) for v, n in sorted(counts.items()) for x in (v, min((1 << 63) - 1, int(wanted / n * (1 << 64)) - (1 << 63)))])
+    hashed = F.xxhash64(key)
+    rows = keys.where(hashed <= F.element_at(edges, F.col(label))).select(key, label, hashed).collect()
+    out: list[tuple] = []
+    taken = dict.fromkeys(counts, 0)
+    for r in sorted(rows, key=lambda r: (r[2], r[0])):
+        if taken[r[1]] < per_label:
+            taken[r[1]] += 1
+            out.append((r[0], r[1]))
+    return out
 
 
 def texts_of(docs: DataFrame, key: str, text: str, chosen: list[tuple], most: int = SAMPLE_BYTES) -> pa.Table:
