@@ -59,6 +59,65 @@ def persistent(df: DataFrame, flag: Column, by: By, order: By, least: int, name:
     return df.withColumn(name, F.col("_p_flag") & (F.col("_p_len") >= least)).drop("_p_flag", "_p_id", "_p_len", "_p_pos")
 
 
+def in_runs(df: DataFrame, flags: dict[str, tuple[Column, int]], by: By, order: By) -> DataFrame:
+    """Adds each name: whether its flag holds in a run of at least so many rows. Two short frames over one order
+    serve all flags: a row is in such a run if one of the next rows ends that many true ones. A null flag is false."""
+    df = df.withColumns({name: F.coalesce(flag, F.lit(False)) for name, (flag, _) in flags.items()})
+    df = df.withColumns({f"_t_{name}": F.sum(F.col(name).cast("int")).over(trailing(by, order, least)) == least for name, (_, least) in flags.items()})
+    held = {name: F.col(name) & F.max(f"_t_{name}").over(over(by, order).rowsBetween(0, least - 1)) for name, (_, least) in flags.items()}
+    return df.withColumns(held).drop(*[f"_t_{name}" for name in flags])
+
+
+#: Rows of the longest frame whose median is taken by sorting the frame at each row.
+SHORT_FRAME = 240
+
+
+def rolling_median(df: DataFrame, value: Column, by: By, order: By, window: int, least: int, name: str) -> DataFrame:
+    """Adds ``name``: median of the last ``window`` rows, null under ``least`` values. Frames too long to be sorted at
+    each row are gone through once per group by a skip list, in Arrow batches of whole groups."""
+    if window <= SHORT_FRAME:
+        return df.withColumn(name, rolling(value, trailing(by, order, window), least, "quantile"))
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    keys = list(order)
+    df = df.withColumn("_value", value.cast("double"))
+    out = StructType([*df.drop("_value").schema.fields, StructField(name, DoubleType())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, [(k, "ascending") for k in keys]))
+        middle = rows["_value"].to_pandas().rolling(window, min_periods=least).median()
+        return rows.drop_columns(["_value"]).append_column(name, pa.array(middle, from_pandas=True))
+
+    return df.groupBy(*by).applyInArrow(run, out)
+
+
+def expanding_median(df: DataFrame, value: str, order: str, name: str) -> DataFrame:
+    """Adds ``name`` to one series (a row per time): the median of all values so far, by two heaps in one pass."""
+    import heapq
+
+    import pyarrow as pa
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    out = StructType([*df.schema.fields, StructField(name, DoubleType())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(order)
+        low: list[float] = []
+        high: list[float] = []
+        found: list[float | None] = []
+        for x in rows[value].to_pylist():
+            if x is not None:
+                heapq.heappush(high, -heapq.heappushpop(low, -x))
+                if len(high) > len(low):
+                    heapq.heappush(low, -heapq.heappop(high))
+            found.append(None if not low else -low[0] if len(low) > len(high) else (high[0] - low[0]) / 2)
+        return rows.append_column(name, pa.array(found, pa.float64()))
+
+    return df.groupBy().applyInArrow(run, out)
+
+
 def rolling(c: Column, w: WindowSpec, least: int, op: str = "mean", q: float = 0.5) -> Column:
     """Rolling mean, std (sample), quantile (linear), max or min; null under ``least`` non-null values."""
     value = {"mean": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min, "sum": F.sum}[op](c) if op != "quantile" else F.percentile(c, q)

@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.scalars import duration_text
 
 
+#: Categories that follow from an anomaly's context. Fixed values.
+CONTEXT_CATEGORY = {"COOLING_FAULT": "cooling_failure", "MEASUREMENT_DISCREPANCY": "measurement_glitch", "INFRA_FAULT": "hardware"}
+
+
 def category(fired: Sequence[tuple[str, Column, Column]], context: Column, peer_z: Column, dropped: Column) -> Column:
-    """Dropout first, else the category of the rule that fired first (table order on ties), else by context,
-    else by peer z over 2, else unknown. ``fired``: category, whether it fired, when."""
-    first = F.array_min(F.array(*[F.when(on, F.struct(at.alias("t"), F.lit(i).alias("i"), F.lit(name).alias("c"))) for i, (name, on, at) in enumerate(fired)]))
-    by_context = F.when(context.isin("COOLING_FAULT"), "thermal").when(context.isin("INFRA_FAULT", "JOB_OVER_EXPECTATION"), "power").when(context.isin("SENSOR_DRIFT", "MEASUREMENT_DISCREPANCY"), "sensor")
-    return F.when(F.coalesce(dropped, F.lit(False)), "dropout").otherwise(F.coalesce(first["c"], by_context, F.when(peer_z > 2, "job"), F.lit("unknown")))
+    """Dropout first, else the category of the rule that fired first (before all others where the time is unknown;
+    table order on ties), else by context, else peer divergence with a z over 2, else unknown. ``fired``: category,
+    whether it fired, when."""
+    on = [F.when(F.coalesce(hit, F.lit(False)), F.struct(at.isNotNull().alias("known"), at.alias("t"), F.lit(i).alias("i"), F.lit(name).alias("c"))) for i, (name, hit, at) in enumerate(fired)]
+    by_context = F.coalesce(*[F.when(F.upper(context) == c, F.lit(k)) for c, k in CONTEXT_CATEGORY.items()])
+    return F.when(F.coalesce(dropped, F.lit(False)), "sensor_dropout").otherwise(F.coalesce(F.array_min(F.array(*on))["c"], by_context, F.when(peer_z > 2, "peer_node_divergence"), F.lit("unknown")))
 
 
 def minutes_since_similar(alerts: DataFrame, by: Sequence[str], start: str, order: Sequence[str], name: str = "prev_similar_min") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.windows import ewma, over, persistent, rolling, trailing, with_lead
+from pulsegrid.functions.windows import ewma, expanding_median, in_runs, over, persistent, rolling, rolling_median, trailing, with_lead
 
 
 def host_thresholds(df: DataFrame, host: str, columns: Sequence[str], fleet: float, clean: Column, factor: float = 1.10, q: float = 0.995) -> DataFrame:
@@ -23,17 +23,15 @@ def above(columns: Sequence[str], limit: Column) -> Column:
 
 def drop_below_median(df: DataFrame, value: str, by, order, window: int, least: int, share: float, ceiling: float, name: str) -> DataFrame:
     """Adds ``name``: under ``share`` of the rolling median (itself over 100) and under ``ceiling``."""
-    middle = rolling(F.col(value), trailing(by, order, window), least, "quantile")
+    df, middle = rolling_median(df, F.col(value), by, order, window, least, "_middle"), F.col("_middle")
     hit = (F.col(value) < share * middle) & (middle > 100) & (F.col(value) < ceiling)
-    return df.withColumn(name, F.coalesce(hit, F.lit(False)))
+    return df.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_middle")
 
 
 def idle_surge(df: DataFrame, value: str, idle: Column, by, order, window: int, least: int, rise: float, run: int, name: str) -> DataFrame:
     """Adds ``name``: idle rows whose value exceeds the rolling median of idle rows by ``rise`` for ``run`` rows."""
-    quiet = F.when(idle, F.col(value))
-    middle = rolling(quiet, trailing(by, order, window), least, "quantile")
-    df = df.withColumn("_hit", F.coalesce(idle & (F.col(value) > middle + rise), F.lit(False)))
-    return persistent(df, F.col("_hit"), by, order, run, name).drop("_hit")
+    df = rolling_median(df.withColumn("_idle", idle), F.when(F.col("_idle"), F.col(value)), by, order, window, least, "_middle")
+    return in_runs(df, {name: (F.col("_idle") & (F.col(value) > F.col("_middle") + rise), run)}, by, order).drop("_idle", "_middle")
 
 
 def flat_against_past(df: DataFrame, value: str, by, order, window: int, least: int, past: int, past_least: int, ratio: float, floor: float, run: int, name: str) -> DataFrame:
@@ -98,15 +96,17 @@ def rack_balance(pdu: DataFrame, hosts: DataFrame, keys: Sequence[str], outlets:
 
 
 def fleet_relative(scores: DataFrame, host: str, ts: str, score: str, hours: int = 1, least: int = 5, margin: float = 0.20) -> DataFrame:
-    """Adds rel and is_anomaly_rel: score against the rolling median over ``hours`` of the fleet's medians.
+    """Adds rel and is_anomaly_rel: score against the rolling median over ``hours`` of the fleet's medians, and where
+    these are under ``least`` against the median of all of them so far.
 
     The fleet has one row per time, whatever the number of hosts. Its window rolls on over the whole series, in
     stretches that begin with the rows that the first windows reach back to."""
     fleet = scores.groupBy(ts).agg(F.percentile(score, 0.5).alias("_m"))
     seconds = F.unix_micros(F.col(ts).cast("timestamp"))
     w = Window.partitionBy("_part").orderBy("_s").rangeBetween(-(hours * 3_600_000_000 - 1), 0)
+    fleet = expanding_median(fleet, "_m", ts, "_all")
     fleet = with_lead(fleet.withColumn("_s", seconds), "_s", hours * 3_600_000_000)
-    level = F.coalesce(F.when(F.count("_m").over(w) >= least, F.percentile("_m", 0.5).over(w)), F.col("_m"))
+    level = F.coalesce(F.when(F.count("_m").over(w) >= least, F.percentile("_m", 0.5).over(w)), F.col("_all"))
     fleet = fleet.select(ts, level.alias("fleet_level"), "_own").where("_own").drop("_own")
     return scores.join(fleet, ts).withColumn("rel", F.col(score) - F.col("fleet_level")).withColumn("is_anomaly_rel", F.col("rel") > margin)
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.windows import over, with_runs
+from pulsegrid.functions.windows import in_runs, over
 
 
 def key_union(sources: Sequence[DataFrame], keys: Sequence[str], first: Sequence[str], largest: Sequence[str]) -> DataFrame:
@@ -42,19 +42,28 @@ def vote_bins(df: DataFrame, host: str, ts: str, families: dict[str, float], min
     return df.withColumns({"n_votes": count, "weighted_votes": weight}).drop("_bin")
 
 
-def candidate_episodes(df: DataFrame, by: Sequence[str], order: Sequence[str], active: Column, peaks: Sequence[str], least: int = 2, gap: int = 10) -> DataFrame:
-    """Runs of at least ``least`` active rows, merged when ``gap`` rows or fewer lie between them.
+def candidate_episodes(df: DataFrame, by: Sequence[str], order: Sequence[str], active: Column, peaks: Sequence[str], least: int = 2, gap: int = 10, agree: dict[str, float] | None = None) -> DataFrame:
+    """Runs of at least ``least`` active rows, merged when they begin ``gap`` rows or fewer after the last one's end.
 
-    Gaps count rows, not time. Returns by, start, end, rows and the largest of each peak column.
+    Gaps count rows, not time. Returns by, start, end, active rows, duration in whole minutes (both ends
+    counted), the largest of each peak column over all rows from start to end, those of gaps included, and,
+    given ``agree`` (levels of peak columns), how many of these are reached. Three frames over one order; no join.
     """
     ts = order[0]
-    rows = df.withColumn("_rn", F.row_number().over(over(by, order)))
-    runs = with_runs(rows, active, by, order, "_a").where(F.col("_a_flag") & (F.col("_a_len") >= least))
-    packed = runs.groupBy(*by, "_a_id").agg(F.min("_rn").alias("_s"), F.max("_rn").alias("_e"), F.min(ts).alias("_ts"), F.max(ts).alias("_te"), F.count("*").alias("_n"), *[F.max(p).alias(p) for p in peaks])
-    w = over(by, ["_s"])
-    fresh = F.coalesce((F.col("_s") - F.lag("_e").over(w)) > gap, F.lit(True)).cast("long")
-    packed = packed.withColumn("_f", fresh).withColumn("ep", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return packed.groupBy(*by, "ep").agg(F.min("_ts").alias("episode_start"), F.max("_te").alias("episode_end"), F.sum("_n").alias("n_active"), *[F.max(p).alias(f"peak_{p}") for p in peaks]).drop("ep")
+    rows = in_runs(df, {"_live": (active, least)}, by, order).withColumn("_rn", F.row_number().over(over(by, order)))
+    here = F.when(F.col("_live"), F.col("_rn"))
+    before = F.last(here, ignorenulls=True).over(over(by, order).rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last(here, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_before", before).withColumn("_after", after)
+    inside = F.coalesce(F.col("_after") - F.col("_before") <= gap, F.lit(False))
+    fresh = F.col("_live") & F.coalesce(F.col("_rn") - F.lag("_before").over(over(by, order)) > gap, F.lit(True))
+    rows = rows.withColumn("_in", inside).withColumn("ep", F.sum(fresh.cast("long")).over(over(by, order).rowsBetween(Window.unboundedPreceding, 0)))
+    out = rows.where("_in").groupBy(*by, "ep").agg(F.min(ts).alias("episode_start"), F.max(ts).alias("episode_end"), F.sum(F.col("_live").cast("long")).alias("n_active"), *[F.max(p).alias(f"peak_{p}") for p in peaks])
+    minutes = F.floor((F.unix_micros(F.col("episode_end").cast("timestamp")) - F.unix_micros(F.col("episode_start").cast("timestamp"))) / 60_000_000) + 1
+    out = out.withColumn("duration_min", minutes.cast("long"))
+    if agree:
+        out = out.withColumn("n_agree", sum((F.coalesce(F.col(f"peak_{p}") >= level, F.lit(False)).cast("long") for p, level in agree.items()), F.lit(0).cast("long")))
+    return out.drop("ep")
 
 
 def sessions(rows: DataFrame, by: Sequence[str], ts: str, gap_min: int = 60) -> DataFrame:

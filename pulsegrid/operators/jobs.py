@@ -119,23 +119,37 @@ def dominant_job(running: DataFrame, key: Sequence[str], job: str, cpus: str) ->
     return running.groupBy(*key).agg(F.min_by(job, F.struct(-F.coalesce(F.col(cpus), F.lit(0.0)), F.col(job))).alias("dominant_job"))
 
 
-def failed_override(context: Column, state: Column) -> Column:
-    """An explained or ambiguous anomaly of a failed dominant job is over expectation."""
-    failed = F.coalesce(state.isin("FAILED", "NODE_FAIL", "OUT_OF_MEMORY", "TIMEOUT"), F.lit(False))
+#: States in which a job counts as failed, and exit codes that say nothing. Fixed values.
+FAILED_STATES = ("FAILED", "TIMEOUT", "CANCELLED", "NODE_FAIL", "OUT_OF_MEMORY")
+QUIET_EXITS = ("0:0", "", "None")
+
+
+def failed_override(context: Column, state: Column, exit_code: Column | None = None) -> Column:
+    """An explained or ambiguous anomaly of a dominant job that failed, or ended with an exit code, is over expectation."""
+    failed = F.coalesce(state.isin(*FAILED_STATES), F.lit(False))
+    if exit_code is not None:
+        failed = failed | F.coalesce(~exit_code.isin(*QUIET_EXITS), F.lit(False))
     return F.when(context.isin("JOB_EXPLAINED", "AMBIGUOUS") & failed, "JOB_OVER_EXPECTATION").otherwise(context)
 
 
-#: Contexts by urgency, most urgent first, and how each moves an alert's confidence. Fixed values.
-CONTEXT_PRIORITY = ("INFRA_FAULT", "COOLING_FAULT", "JOB_OVER_EXPECTATION", "SENSOR_DRIFT", "MEASUREMENT_DISCREPANCY", "AMBIGUOUS", "JOB_EXPLAINED", "NO_JOBS")
+#: Contexts that outrank others, the most urgent first, and how each moves an alert's confidence. Fixed values.
+CONTEXT_PRIORITY = {"INFRA_FAULT": 3, "COOLING_FAULT": 2, "JOB_OVER_EXPECTATION": 1}
+CONFIDENCE_STEP = {"INFRA_FAULT": -0.15, "COOLING_FAULT": -0.15, "JOB_OVER_EXPECTATION": 0.15}
+
 
+def enrich(alerts: DataFrame, contexts: DataFrame, host: str, minute: str, alert: str, context: str, confidence: str, position: str | None = None) -> DataFrame:
+    """The most urgent context over an alert's hosts at its first minute, and the confidence it leaves, within [0, 1].
 
-def enrich(alerts: DataFrame, contexts: DataFrame, host: str, minute: str, alert: str, context: str, confidence: str) -> DataFrame:
-    """The most urgent context over an alert's hosts at its first minute; confidence moves by 0.15, within [0, 1]."""
-    rank = F.array_position(F.array(*[F.lit(c) for c in CONTEXT_PRIORITY]), F.col(context))
-    best = alerts.join(contexts, [host, minute]).where(rank > 0).groupBy(alert).agg(F.min_by(context, rank).alias("context"))
-    step = F.when(F.col("context").isin("JOB_EXPLAINED"), -0.15).when(F.col("context").isin("INFRA_FAULT", "COOLING_FAULT", "JOB_OVER_EXPECTATION"), 0.15).otherwise(0.0)
-    out = alerts.groupBy(alert).agg(F.max(confidence).alias(confidence)).join(best, alert, "left")
-    return out.withColumn(confidence, F.greatest(F.least(F.col(confidence) + step, F.lit(1.0)), F.lit(0.0)))
+    ``alerts`` has a row per alert and host. Of equally urgent contexts that of the first host counts, by
+    ``position`` or by name. A fault of the machine speaks against the job, an excess of the job for it."""
+    known = contexts.where((F.col(context).isNotNull()) & (F.col(context) != "")).select(host, minute, context)
+    urgency = F.coalesce(*[F.when(F.col(context) == c, F.lit(n)) for c, n in CONTEXT_PRIORITY.items()], F.lit(0))
+    found = alerts.join(known, [host, minute], "left")
+    order = F.when(F.col(context).isNotNull(), F.struct(-urgency, F.col(position or host)))
+    out = found.groupBy(alert).agg(F.max(confidence).alias(confidence), F.min_by(context, order).alias("context"))
+    step = F.coalesce(*[F.when(F.col("context") == c, F.lit(x)) for c, x in CONFIDENCE_STEP.items()], F.lit(0.0))
+    moved = F.when(step < 0, F.greatest(F.col(confidence) + step, F.lit(0.0))).when(step > 0, F.least(F.col(confidence) + step, F.lit(1.0))).otherwise(F.col(confidence))
+    return out.withColumn(confidence, moved).select(alert, confidence, "context")
 
 
 def oom_windows(rows: DataFrame, jobs: DataFrame, by: Sequence[str], ts: str, end: str, minutes: int = 30) -> DataFrame:

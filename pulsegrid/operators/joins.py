@@ -26,7 +26,8 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str, value: S
     both = rows.unionByName(marks, allowMissingColumns=True)
     w = Window.partitionBy(*by).orderBy(ts, "_side", "_o")
     before = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_r", ignorenulls=True).over(Window.partitionBy(*by).orderBy(ts, F.desc("_side"), F.desc("_o")).rowsBetween(0, Window.unboundedFollowing))
+    # The first at or after, as the last of a frame that grows backwards in time: a frame to the end would be gone through for each row.
+    after = F.last("_r", ignorenulls=True).over(Window.partitionBy(*by).orderBy(F.desc(ts), "_side", "_o").rowsBetween(Window.unboundedPreceding, 0))
     found = both.withColumn("_b", before)
     if direction == "nearest":
         found = found.withColumn("_a", after)

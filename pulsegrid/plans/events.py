@@ -40,7 +40,7 @@ def agreement_matrix(spark, d):
     return evaluation.agreement(f, "a", "b").withColumn("agree", r("agree"))
 
 
-@query(f"WITH {T}, h AS (SELECT date_trunc('hour', ts) AS ts, AVG(COALESCE(value > 50, FALSE)::INT) AS frac FROM t GROUP BY 1), m AS (SELECT ts, frac, AVG(frac) OVER (PARTITION BY date_trunc('month', ts) ORDER BY ts RANGE BETWEEN INTERVAL 21599999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS roll FROM h), k AS (SELECT *, roll >= 0.3 AS z FROM m), a AS (SELECT * FROM k WHERE z), b AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts)) <= 3600000000 THEN 0 ELSE 1 END AS c FROM a), s AS (SELECT *, SUM(c) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS p FROM b) SELECT MIN(ts) AS period_start, MAX(ts) AS period_end, ROUND(MAX(roll), 6) AS peak, COUNT(*) AS hours FROM s GROUP BY p ORDER BY peak DESC, period_start LIMIT 20")
+@query(f"WITH {T}, h AS (SELECT date_trunc('hour', ts) AS ts, AVG(COALESCE(value > 50, FALSE)::INT) AS frac FROM t GROUP BY 1), m AS (SELECT ts, frac, AVG(frac) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 21599999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS roll FROM h), k AS (SELECT *, roll >= 0.3 AS z FROM m), a AS (SELECT * FROM k WHERE z), b AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts)) <= 3600000000 THEN 0 ELSE 1 END AS c FROM a), s AS (SELECT *, SUM(c) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS p FROM b) SELECT MIN(ts) AS period_start, MAX(ts) AS period_end, ROUND(MAX(roll), 6) AS peak, COUNT(*) AS hours FROM s GROUP BY p ORDER BY peak DESC, period_start LIMIT 20")
 def suspicious_periods(spark, d):
     h = rows(spark, d).groupBy(F.date_trunc("hour", "ts").cast(NTZ).alias("ts")).agg(F.avg(F.coalesce(F.col("value") > 50, F.lit(False)).cast("double")).alias("frac"))
     h = W_.with_lead(h.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))), "us", 6 * 3_600_000_000)
@@ -283,11 +283,12 @@ def weighted_votes(spark, d):
     return fusion.vote_bins(f, "hostname", "ts", {"thr": 1.0, "phys": 2.0}, 720).select("event_id", "vote_thr", "vote_phys", "n_votes", "weighted_votes")
 
 
-_EP = _runs("value > 25") + f", g2 AS (SELECT *, row_number() OVER ({W}) AS rn FROM n), r1 AS (SELECT hostname, run, MIN(rn) AS s, MAX(rn) AS e, MIN(ts) AS ts0, MAX(ts) AS ts1, COUNT(*) AS k, MAX(value) AS pk FROM g2 WHERE z AND len >= 2 GROUP BY ALL), r2 AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY hostname ORDER BY s) > 10 THEN 1 WHEN lag(e) OVER (PARTITION BY hostname ORDER BY s) IS NULL THEN 1 ELSE 0 END AS f FROM r1), r3 AS (SELECT *, SUM(f) OVER (PARTITION BY hostname ORDER BY s ROWS UNBOUNDED PRECEDING) AS ep FROM r2), eps AS (SELECT hostname, MIN(ts0) AS episode_start, MAX(ts1) AS episode_end, CAST(SUM(k) AS BIGINT) AS n_active, MAX(pk) AS peak_value FROM r3 GROUP BY hostname, ep)"
+_EP = _runs("value > 25") + f", g2 AS (SELECT *, row_number() OVER ({W}) AS rn FROM n), r1 AS (SELECT hostname, run, MIN(rn) AS s, MAX(rn) AS e, MIN(ts) AS ts0, MAX(ts) AS ts1, COUNT(*) AS k FROM g2 WHERE z AND len >= 2 GROUP BY ALL), r2 AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY hostname ORDER BY s) > 10 THEN 1 WHEN lag(e) OVER (PARTITION BY hostname ORDER BY s) IS NULL THEN 1 ELSE 0 END AS f FROM r1), r3 AS (SELECT *, SUM(f) OVER (PARTITION BY hostname ORDER BY s ROWS UNBOUNDED PRECEDING) AS ep FROM r2), r4 AS (SELECT hostname, MIN(s) AS s, MAX(e) AS e, MIN(ts0) AS episode_start, MAX(ts1) AS episode_end, CAST(SUM(k) AS BIGINT) AS n_active FROM r3 GROUP BY hostname, ep), eps AS (SELECT r4.hostname, episode_start, episode_end, n_active, MAX(g2.value) AS peak_value, MAX(g2.event_id % 7 / 2.0) AS peak_other, (epoch_us(episode_end) - epoch_us(episode_start)) // 60000000 + 1 AS duration_min, CAST(COALESCE(MAX(g2.value) >= 40, FALSE) AS BIGINT) + CAST(MAX(g2.event_id % 7 / 2.0) >= 2 AS BIGINT) AS n_agree FROM r4 JOIN g2 ON g2.hostname = r4.hostname AND g2.rn BETWEEN r4.s AND r4.e GROUP BY ALL)"
 
 
 def _episodes(spark, d):
-    return fusion.candidate_episodes(rows(spark, d), BY, ORDER, F.col("value") > 25, ["value"])
+    df = rows(spark, d).withColumn("other", F.col("event_id") % 7 / 2)
+    return fusion.candidate_episodes(df, BY, ORDER, F.col("value") > 25, ["value", "other"], agree={"value": 40.0, "other": 2.0})
 
 
 @query(_EP + " SELECT * FROM eps")
@@ -421,10 +422,10 @@ def rack_fanout_match(spark, d):
 # Alerts
 
 
-@query("WITH f AS (SELECT event_id, value, CASE WHEN value > 60 THEN 5 END AS t1, CASE WHEN event_id % 3 = 0 THEN 3 END AS t2, event_id % 29 = 0 AS dr, CASE event_id % 5 WHEN 1 THEN 'COOLING_FAULT' WHEN 2 THEN 'INFRA_FAULT' WHEN 3 THEN 'SENSOR_DRIFT' ELSE 'AMBIGUOUS' END AS cx FROM events) SELECT event_id, CASE WHEN dr THEN 'dropout' WHEN t2 IS NOT NULL THEN 'thermal' WHEN t1 IS NOT NULL THEN 'power' WHEN cx = 'COOLING_FAULT' THEN 'thermal' WHEN cx = 'INFRA_FAULT' THEN 'power' WHEN cx = 'SENSOR_DRIFT' THEN 'sensor' WHEN value > 20 THEN 'job' ELSE 'unknown' END AS category FROM f")
+@query("WITH f AS (SELECT event_id, value, CASE WHEN value > 60 THEN 5 END AS t1, CASE WHEN event_id % 3 = 0 THEN 3 END AS t2, event_id % 29 = 0 AS dr, CASE event_id % 5 WHEN 1 THEN 'COOLING_FAULT' WHEN 2 THEN 'INFRA_FAULT' WHEN 3 THEN 'SENSOR_DRIFT' WHEN 4 THEN 'MEASUREMENT_DISCREPANCY' ELSE 'AMBIGUOUS' END AS cx FROM events) SELECT event_id, CASE WHEN dr THEN 'sensor_dropout' WHEN t2 IS NOT NULL THEN 'thermal' WHEN t1 IS NOT NULL THEN 'power' WHEN cx = 'COOLING_FAULT' THEN 'cooling_failure' WHEN cx = 'INFRA_FAULT' THEN 'hardware' WHEN cx = 'MEASUREMENT_DISCREPANCY' THEN 'measurement_glitch' WHEN value > 20 THEN 'peer_node_divergence' ELSE 'unknown' END AS category FROM f")
 def category_precedence(spark, d):
     e = F.col("event_id")
-    cx = F.element_at(F.array(*[F.lit(x) for x in ("AMBIGUOUS", "COOLING_FAULT", "INFRA_FAULT", "SENSOR_DRIFT", "AMBIGUOUS")]), (e % 5 + 1).cast("int"))
+    cx = F.element_at(F.array(*[F.lit(x) for x in ("AMBIGUOUS", "COOLING_FAULT", "INFRA_FAULT", "SENSOR_DRIFT", "MEASUREMENT_DISCREPANCY")]), (e % 5 + 1).cast("int"))
     c = alerts.category([("power", F.col("value") > 60, F.lit(5)), ("thermal", e % 3 == 0, F.lit(3))], cx, F.col("value") / 10, e % 29 == 0)
     return table(spark, d, "events").select("event_id", c.alias("category"))
 
@@ -462,7 +463,7 @@ _M = f"hostname = '{_HOST}' AND ts >= TIMESTAMP '{_A}' AND ts < TIMESTAMP '{_B}'
 _spec = {"hostname": _HOST, "start": _A, "end": _B, "column": "value"}
 
 
-@query(f"WITH {T} SELECT event_id, ROUND(CASE WHEN {_M} THEN value + 12 * least((epoch_us(ts) - epoch_us(TIMESTAMP '{_A}')) / 6e7 / 720, 1.0) ELSE value END, 6) AS value FROM t")
+@query(f"WITH {T} SELECT event_id, ROUND(CASE WHEN {_M} THEN value + (epoch_us(ts) - epoch_us(TIMESTAMP '{_A}')) / 3.6e9 * 0.05 ELSE value END, 6) AS value FROM t")
 def inject_ramp(spark, d):
     out, _ = inject.inject(rows(spark, d), [_spec | {"type": "gradual_thermal_drift"}])
     return out.select("event_id", r("value").alias("value"))
@@ -480,10 +481,42 @@ def inject_dropout(spark, d):
     return out.select("event_id", "value")
 
 
-@query(f"WITH {T}, l AS (SELECT quantile_cont(value, 0.5) AS lvl FROM t WHERE hostname = '{_HOST}' AND ts < TIMESTAMP '{_A}') SELECT event_id, ROUND(CASE WHEN {_M} THEN lvl ELSE value END, 6) AS value FROM t, l")
+@query(f"WITH {T}, l AS (SELECT quantile_cont(value, 0.5) AS lvl FROM t WHERE hostname = '{_HOST}' AND ts >= TIMESTAMP '{_A}' - INTERVAL 72 HOUR AND ts < TIMESTAMP '{_A}') SELECT event_id, ROUND(CASE WHEN {_M} THEN COALESCE(lvl, value) ELSE value END, 6) AS value FROM t, l")
 def inject_stuck_median(spark, d):
-    before = (F.col("hostname") == _HOST) & (F.col("ts") < F.lit(_A).cast(NTZ))
-    return inject.stuck(rows(spark, d), "value", inject.mask(_HOST, _A, _B), before).select("event_id", r("value").alias("value"))
+    out, _ = inject.inject(rows(spark, d), [_spec | {"type": "sensor_stuck_at_value", "lookback_hr": 72}])
+    return out.select("event_id", r("value").alias("value"))
+
+
+_T_IN = f"(epoch_us(ts) - epoch_us(TIMESTAMP '{_A}')) / 6e7"
+
+
+@query(f"WITH {T} SELECT event_id, ROUND(CASE WHEN {_M} AND value IS NOT NULL THEN least(greatest(value + {_T_IN} / 5760 * 80, 0), 100) ELSE value END, 6) AS memoryusage, ROUND(CASE WHEN {_M} AND value IS NOT NULL THEN greatest(value * (1 - {_T_IN} / 5760 * 0.8), 0) ELSE value END, 6) AS freememory FROM t")
+def inject_memory_leak(spark, d):
+    df = rows(spark, d).select("event_id", "hostname", "ts", F.col("value").alias("memoryusage"), F.col("value").alias("freememory"))
+    out, _ = inject.inject(df, [{"type": "memory_leak", "hostname": _HOST, "start": _A, "end": _B}])
+    return out.select("event_id", r("memoryusage").alias("memoryusage"), r("freememory").alias("freememory"))
+
+
+@query(f"WITH {T} SELECT event_id, CASE WHEN {_M} THEN least(greatest(COALESCE(value, 99), 99), 100) ELSE value END AS cpuusage, CASE WHEN {_M} THEN greatest(COALESCE(value, 500), 500) ELSE value END AS totalcpupower, value AS gpucpuusage FROM t")
+def inject_cpu_exhaustion(spark, d):
+    df = rows(spark, d).select("event_id", "hostname", "ts", *[F.col("value").alias(c) for c in ("cpuusage", "totalcpupower", "gpucpuusage")])
+    out, _ = inject.inject(df, [{"type": "cpu_exhaustion", "hostname": _HOST, "start": _A, "end": _B}])
+    return out.select("event_id", "cpuusage", "totalcpupower", "gpucpuusage")
+
+
+@query(f"WITH {T} SELECT event_id, ROUND(CASE WHEN {_M} AND value IS NOT NULL THEN greatest(value * 0.2, 5) ELSE value END, 6) AS fanrpm, ROUND(CASE WHEN {_M} THEN value + 4 * least({_T_IN} / 15, 1) ELSE value END, 6) AS inlettemp FROM t")
+def inject_fan_drop(spark, d):
+    df = rows(spark, d).select("event_id", "hostname", "ts", F.col("value").alias("fanrpm"), F.col("value").alias("inlettemp"))
+    out, _ = inject.inject(df, [{"type": "fan_rpm_drop", "hostname": _HOST, "start": _A, "end": _B, "rpm_floor": 5, "temp_bump_c": 4.0}])
+    return out.select("event_id", r("fanrpm").alias("fanrpm"), r("inlettemp").alias("inlettemp"))
+
+
+@query(f"WITH {T} SELECT event_id, ROUND(CASE WHEN {_M} THEN value + 5 * least({_T_IN} / 30, 1) ELSE value END, 6) AS inlet_temp, ROUND(CASE WHEN hostname = '{_HOST}' AND ts >= TIMESTAMP '{_A}' AND ts < TIMESTAMP '{_A}' + INTERVAL 96 HOUR THEN value * 1.25 ELSE value END, 6) AS pdu_power FROM t")
+def inject_cooling_and_glitch(spark, d):
+    df = rows(spark, d).select("event_id", "hostname", "ts", F.col("value").alias("inlet_temp"), F.col("value").alias("pdu_power"))
+    specs = [{"type": "cooling_failure", "hostname": _HOST, "start": _A, "end": _B}, {"type": "measurement_glitch", "hostname": _HOST, "start": _A, "duration_hr": 96}]
+    out, _ = inject.inject(df, specs)
+    return out.select("event_id", r("inlet_temp").alias("inlet_temp"), r("pdu_power").alias("pdu_power"))
 
 
 # Streams: each drains a directory of files and gives the batch result

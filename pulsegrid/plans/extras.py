@@ -87,10 +87,12 @@ def dominant_job(spark, d):
     return job_ops.dominant_job(li, ["l_suppkey", "ts"], "l_orderkey", "l_quantity")
 
 
-@query("SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 3 < 2 AND o_orderstatus = 'F' THEN 'JOB_OVER_EXPECTATION' ELSE ['AMBIGUOUS','JOB_EXPLAINED','INFRA_FAULT'][CAST(o_orderkey % 3 + 1 AS INTEGER)] END AS context FROM orders")
+@query("SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 3 < 2 AND (o_orderstatus = 'F' OR o_orderkey % 11 = 0 OR o_orderkey % 13 = 0) THEN 'JOB_OVER_EXPECTATION' ELSE ['AMBIGUOUS','JOB_EXPLAINED','INFRA_FAULT'][CAST(o_orderkey % 3 + 1 AS INTEGER)] END AS context FROM orders")
 def failed_job_override(spark, d):
     c = F.element_at(F.array(*[F.lit(x) for x in ("AMBIGUOUS", "JOB_EXPLAINED", "INFRA_FAULT")]), (F.col("job_id") % 3 + 1).cast("int"))
-    return job_states(spark, d).select("job_id", job_ops.failed_override(c, F.col("job_state")).alias("context"))
+    state = F.when(F.col("job_id") % 11 == 0, "CANCELLED").otherwise(F.col("job_state"))
+    code = F.when(F.col("job_id") % 13 == 0, "1:0").when(F.col("job_id") % 2 == 0, "0:0")
+    return job_states(spark, d).select("job_id", job_ops.failed_override(c, state, code).alias("context"))
 
 
 @query(f"WITH {T}, x AS (SELECT DISTINCT t.event_id FROM t JOIN t e ON e.hostname = t.hostname AND e.sensor = 'error' AND e.value > 50 AND t.ts BETWEEN e.ts - INTERVAL 600 MINUTE AND e.ts) SELECT event_id, event_id IN (SELECT event_id FROM x) AS oom_window FROM t")

@@ -417,7 +417,7 @@ def pdu_p95(spark, d):
     return t.select("l_suppkey", r("threshold").alias("threshold"))
 
 
-@query(f"WITH {T}, s AS (SELECT event_id, hostname, date_trunc('hour', ts) AS ts, value FROM t WHERE value IS NOT NULL), m AS (SELECT ts, quantile_cont(value, 0.5) AS m FROM s GROUP BY ts), l AS (SELECT ts, COALESCE(CASE WHEN COUNT(m) OVER w >= 5 THEN quantile_cont(m, 0.5) OVER w END, m) AS lvl FROM m WINDOW w AS (PARTITION BY date_trunc('month', ts) ORDER BY ts RANGE BETWEEN INTERVAL 21599999999 MICROSECONDS PRECEDING AND CURRENT ROW)) SELECT event_id, ROUND(value - lvl, 6) AS rel, value - lvl > 0.2 AS is_anomaly_rel FROM s JOIN l USING (ts)")
+@query(f"WITH {T}, s AS (SELECT event_id, hostname, date_trunc('hour', ts) AS ts, value FROM t WHERE value IS NOT NULL), m AS (SELECT ts, quantile_cont(value, 0.5) AS m FROM s GROUP BY ts), l AS (SELECT ts, COALESCE(CASE WHEN COUNT(m) OVER w >= 5 THEN quantile_cont(m, 0.5) OVER w END, quantile_cont(m, 0.5) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS lvl FROM m WINDOW w AS (ORDER BY ts RANGE BETWEEN INTERVAL 21599999999 MICROSECONDS PRECEDING AND CURRENT ROW)) SELECT event_id, ROUND(value - lvl, 6) AS rel, value - lvl > 0.2 AS is_anomaly_rel FROM s JOIN l USING (ts)")
 def cluster_relative(spark, d):
     s = rows(spark, d).where("value is not null").withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz")).select("event_id", "hostname", "ts", "value")
     return detectors.fleet_relative(s, "hostname", "ts", "value", 6).select("event_id", r("rel").alias("rel"), "is_anomaly_rel")
