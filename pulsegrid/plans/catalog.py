@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulsegrid.plans import events, extras, signals  # noqa: F401  they register their queries
+from pulsegrid.plans import events, extras, rules, signals  # noqa: F401  they register their queries
 from pulsegrid.plans.base import QUERIES, SQL, Query
 
 FLAGSHIP = "flagship"
