@@ -5,6 +5,7 @@ A missing value is NULL throughout. Windows take ``by`` (partition columns) and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -151,37 +152,22 @@ def slope(df: DataFrame, value: str, by: By, order: By, window: int, name: str)
 def ewma(df: DataFrame, value: str, by: By, order: By, span: int, name: str) -> DataFrame:
     """Adds ``name``: exponentially weighted mean with adjusted weights; nulls decay the weights and are skipped.
 
-    The fold runs in the JVM over one host's ordered values; it needs them together, as any fold does.
+    A host's ordered rows are cut into blocks so long that what lies before the last whole block weighs less
+    than a double resolves (e to the -45); each block runs on from the one before it, whose rows it gets as a
+    lead. Inside, the mean is a ratio of two running sums with growing weights. So no task holds a host's
+    rows at once. Over a gap longer than that the mean stays what it was.
     """
-    alpha = 2.0 / (span + 1)
-    key = [F.col(c) for c in order]
-    packed = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*key, F.col(value).alias("_v"), F.struct(*[c for c in df.columns if c not in by]).alias("_row")))).alias("_rows"))
-    zero = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc: Column, row: Column) -> Column:
-        v = row["_v"]
-        num = acc["num"] * (1 - alpha) + F.coalesce(v, F.lit(0.0))
-        den = acc["den"] * (1 - alpha) + F.when(v.isNull(), 0.0).otherwise(1.0)
-        return F.struct(num.alias("num"), den.alias("den"), F.concat(acc["out"], F.array(F.when(den > 0, num / den))).alias("out"))
-
-    folded = packed.withColumn("_out", F.aggregate("_rows", zero, step, lambda acc: acc["out"]))
-    rows = folded.select(*by, F.explode(F.arrays_zip("_rows", "_out")).alias("_z"))
-    return rows.select(*by, F.col("_z._rows._row.*"), F.col("_z._out").alias(name))
-
-
-def ewma_blocks(df: DataFrame, value: str, by: By, order: By, span: int, name: str) -> DataFrame:
-    """``ewma`` by pandas in sorted groups, for hosts whose arrays would be too long for one fold."""
-    import pandas as pd
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(list(order), kind="stable")
-        part[name] = part[value].astype("float64").ewm(span=span, adjust=True, ignore_na=False).mean()
-        return part
-
-    return df.groupBy(*by).applyInPandas(run, schema)
+    decay = -math.log1p(-2.0 / (span + 1))
+    size = math.ceil(45.0 / decay)
+    df = df.withColumn("_rn", F.row_number().over(over(by, order)) - 1)
+    block = F.floor(F.col("_rn") / size)
+    spread = df.withColumn("_block", F.explode(F.array(block, block + 1)))
+    weight = F.exp((F.col("_rn") - F.col("_block") * size) * decay)  # of rows -size to size - 1 around the block's start
+    w = so_far([*by, "_block"], order)
+    x = F.col(value).cast("double")
+    mean = F.sum(F.coalesce(x * weight, F.lit(0.0))).over(w) / F.nullif(F.sum(F.when(x.isNotNull(), weight).otherwise(0.0)).over(w), F.lit(0.0))
+    own = spread.withColumn("_mean", mean).where(F.col("_rn") >= F.col("_block") * size)
+    return own.withColumn(name, F.coalesce("_mean", F.last("_mean", ignorenulls=True).over(so_far(by, order)))).drop("_rn", "_block", "_mean")
 
 
 def robust_z(df: DataFrame, value: str, train: Column, name: str, least: int = 30) -> DataFrame:

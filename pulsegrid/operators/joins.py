@@ -77,10 +77,10 @@ def overlaps(left: DataFrame, right: DataFrame, by: Sequence[str], l_span: tuple
 def with_wildcard(left: DataFrame, events: DataFrame, host: str, join, any_host: str = "*") -> DataFrame:
     """Apply ``join(left, events)`` for events of the same host and for events of all hosts.
 
-    Two joins and a union instead of one with OR, which would compare all pairs. Wildcard events take each
-    host that ``left`` has.
+    Two joins and a union instead of one with OR, which would compare all pairs. For wildcard events every
+    left row goes by the wildcard's name, so events are not multiplied by hosts.
     """
-    own = events.where(F.col(host) != any_host)
-    hosts = left.select(host).distinct()
-    everyone = events.where(F.col(host) == any_host).drop(host).join(F.broadcast(hosts), how="cross")
-    return join(left, own.unionByName(everyone))
+    own = join(left, events.where(F.col(host) != any_host))
+    renamed = left.withColumn("_host", F.col(host)).withColumn(host, F.lit(any_host))
+    everyone = join(renamed, events.where(F.col(host) == any_host)).withColumn(host, F.col("_host")).drop("_host")
+    return own.unionByName(everyone)

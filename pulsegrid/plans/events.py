@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,6 +11,7 @@ from pulsegrid.operators import jobs as job_ops
 from pulsegrid.plans.base import BY, ORDER, TRAIN_END, VAL_END, G, J, T, W, query, r
 from pulsegrid.plans.signals import _runs, rows
 from pulsegrid.sources.adapters import job_states, jobs, table, truth
+from pulsegrid.sources.shared import shared_folder
 from pulsegrid.streaming import live
 
 NTZ = "timestamp_ntz"
@@ -525,8 +523,7 @@ def inject_cooling_and_glitch(spark, d):
 def _drained(spark, d, build, mode="append"):
     from pulsegrid.sources.adapters import table as _table
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pulsegrid-stream-")
-    where = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    where = shared_folder(spark, "stream")
     _table(spark, d, "events").write.parquet(f"{where}/in")
     live.drain(build(live.source(spark, f"{where}/in")), f"{where}/out", f"{where}/checkpoint", mode)
     return spark, where

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import detectors, evaluation, fusion, learn, narrative
@@ -14,6 +11,7 @@ from pulsegrid.plans.events import _EP, _GW, _SC, _VB, _episodes, _scored
 from pulsegrid.plans.signals import rows
 from pulsegrid.sources import files
 from pulsegrid.sources.adapters import job_states, jobs, table, truth
+from pulsegrid.sources.shared import shared_folder
 
 NTZ = "timestamp_ntz"
 
@@ -128,8 +126,7 @@ def type_attribution(spark, d):
 
 @query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def csv_roundtrip(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pulsegrid-csv-")
-    where = f"{base.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    where = shared_folder(spark, "csv")
     n, g = table(spark, d, "nation"), table(spark, d, "region")
     joined = n.join(F.broadcast(g), n.n_regionkey == g.r_regionkey).select("n_nationkey", "n_name", "r_name")
     joined.write.option("header", True).csv(where)
@@ -180,3 +177,37 @@ def faulty_channels(spark, d):
     pre = F.col("ts") < F.lit("2024-01-15 00:00:00").cast(NTZ)
     p = rows(spark, d).select("hostname", F.when(pre, "pre").otherwise("epi").alias("phase"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("a"), F.when(pre, F.col("value")).otherwise(5.0).alias("b"))
     return narrative.faulty_channels(p, ["hostname"], ["a", "b"], "phase")
+
+
+@query(f"WITH {T}, al AS (SELECT event_id // 5 AS alert, hostname, date_trunc('hour', ts) AS hour, event_id % 10 / 10.0 AS conf FROM t WHERE value > 30), cx AS (SELECT hostname, date_trunc('hour', ts) AS hour, CASE MIN(event_id) % 5 WHEN 0 THEN 'INFRA_FAULT' WHEN 1 THEN 'COOLING_FAULT' WHEN 2 THEN 'JOB_OVER_EXPECTATION' WHEN 3 THEN 'AMBIGUOUS' ELSE '' END AS ctx FROM t GROUP BY ALL), p AS (SELECT alert, hostname, conf, NULLIF(ctx, '') AS ctx, CASE ctx WHEN 'INFRA_FAULT' THEN 3 WHEN 'COOLING_FAULT' THEN 2 WHEN 'JOB_OVER_EXPECTATION' THEN 1 ELSE 0 END AS pri FROM al LEFT JOIN cx USING (hostname, hour)), b AS (SELECT alert, MAX(conf) AS conf, first(ctx ORDER BY pri DESC, hostname) FILTER (ctx IS NOT NULL) AS context FROM p GROUP BY alert) SELECT alert, context, ROUND(CASE WHEN context IN ('INFRA_FAULT', 'COOLING_FAULT') THEN greatest(conf - 0.15, 0) WHEN context = 'JOB_OVER_EXPECTATION' THEN least(conf + 0.15, 1) ELSE conf END, 6) AS conf FROM b")
+def enrich_alerts(spark, d):
+    hour = F.date_trunc("hour", "ts").cast(NTZ).alias("hour")
+    al = rows(spark, d).where("value > 30").select(F.floor(F.col("event_id") / 5).alias("alert"), "hostname", hour, (F.col("event_id") % 10 / 10).alias("conf"))
+    n = F.min("event_id") % 5
+    ctx = F.when(n == 0, "INFRA_FAULT").when(n == 1, "COOLING_FAULT").when(n == 2, "JOB_OVER_EXPECTATION").when(n == 3, "AMBIGUOUS").otherwise("")
+    cx = rows(spark, d).groupBy("hostname", hour).agg(ctx.alias("ctx"))
+    return job_ops.enrich(al, cx, "hostname", "hour", "alert", "ctx", "conf").select("alert", "context", r("conf").alias("conf"))
+
+
+def _profiles(spark, d):
+    names = ("view", "click", "purchase", "error")
+    pivoted = rows(spark, d).groupBy("hostname").agg(*[F.coalesce(F.avg(F.when(F.col("sensor") == s, F.col("value"))), F.lit(0.0)).alias(s) for s in names], F.count("*").alias("n"))
+    return pivoted, names
+
+
+@query()
+def boosted_scores(spark, d):
+    """Gradient-boosted trees: whether a host's error mean is over 25, from its other means. Learned, so without SQL."""
+    p, names = _profiles(spark, d)
+    p = p.withColumn("y", (F.col("error") > 25).cast("int"))
+    return learn.boosted_trees(p, p, list(names[:3]), "y", 3, 5).select("hostname", "y", r("prob").alias("prob"))
+
+
+@query()
+def merged_clusters(spark, d):
+    """k-means clusters of host profiles, those under five members merged into the nearest other. Learned, so without SQL."""
+    p, names = _profiles(spark, d)
+    vectors = p.select("hostname", F.array(*names).alias("v"))
+    assigned, model = learn.kmeans(vectors, "v")
+    centroids = {i: [float(x) for x in c] for i, c in enumerate(model.clusterCenters())}
+    return job_ops.merge_small(assigned, "v", "cluster_id", centroids, 5).select("hostname", "cluster_id")

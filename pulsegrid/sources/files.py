@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -34,13 +35,15 @@ def csv_to_parquet(spark: SparkSession, source: str, target: str, ts: list[str]
 
 
 def read_tables(spark: SparkSession, paths: list[str]) -> DataFrame | None:
-    """Union of Parquet folders with differing columns; None if none of them can be read."""
+    """Union of Parquet folders with differing columns; absent or empty ones are left out, others that cannot be read raise.
+    None if none is there."""
     frames = []
     for path in paths:
         try:
             frames.append(spark.read.parquet(path))
-        except Exception:  # noqa: BLE001  a missing source is left out
-            continue
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
     out = None
     for f in frames:
         out = f if out is None else out.unionByName(f, allowMissingColumns=True)

@@ -63,8 +63,12 @@ def test_slope_is_least_squares(spark, seed):
 def test_ewma_equals_pandas(spark):
     x = [1.0, None, 3.0, 2.0, None, None, 8.0]
     want = pd.Series(x).ewm(span=30, adjust=True).mean()
-    for f in (w.ewma, w.ewma_blocks):
+    for f in (w.ewma,):
         assert np.allclose(column(f(frame(spark, x), "v", BY, ORDER, 30, "e"), "e"), want)
+    y = np.random.default_rng(1).normal(10, 3, 3000)  # many blocks, the gap longer than one
+    y[500:620] = np.nan
+    got = column(w.ewma(frame(spark, [None if np.isnan(v) else float(v) for v in y]), "v", BY, ORDER, 3, "e"), "e")
+    assert np.allclose(np.array(got, float), pd.Series(y).ewm(span=3, adjust=True).mean())
 
 
 def test_robust_z_falls_back(spark):
