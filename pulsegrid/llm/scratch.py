@@ -13,10 +13,13 @@ _ended: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (a single machine), a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a temporary one of this machine, which only
+    a session with a local master can share; any other raises ValueError."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _default:
         _default.append(tempfile.mkdtemp(prefix="pulsegrid-"))
     return "file://" + _default[0]
