@@ -123,7 +123,8 @@ def recover(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
 
     Probabilities are learned from the rows of known ``role`` that ``train`` admits; predictions use the text
     and order of turns only. Turns follow their numbers, gaps notwithstanding; rows that repeat a number
-    follow each other by text. A null text reads as empty. Rows with a null conversation or turn have no
+    follow each other by their texts' hashes, and rows that repeat a text as well share a role. Texts are
+    shuffled once, for the result; all steps before go by hashes. A null text reads as empty. Rows with a null conversation or turn have no
     order: role_pred and rendered are null. Other columns are not read. Returns conv, turn, role_pred,
     rendered (``<|role|>``, line end, the text without its speaker marker, line end).
     """
@@ -135,12 +136,13 @@ def recover(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
     base = turns.select(F.col(conv).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), said.alias("text"), F.when(admitted, named).alias("role"))
     first = scratch.put(base.where("conv is not null and turn is not null").groupBy("conv").agg(F.min("turn").alias("first")), "first")
     rows = base.join(first, "conv", "left").withColumn("opens", F.coalesce(F.col("turn") == F.col("first"), F.lit(False)))
-    rows = scratch.put(rows.withColumn("obs", observation(F.col("text"), F.col("opens"))), "rows")
-    start, move, emit = _tables(rows)
+    rows = rows.withColumn("obs", observation(F.col("text"), F.col("opens"))).withColumn("h", F.xxhash64("text"))
+    light = scratch.put(rows.drop("text"), "rows")
+    start, move, emit = _tables(light)
 
-    placed = rows.where("conv is not null and turn is not null").select("conv", F.floor((F.col("turn") - F.col("first")) / BLOCK).cast("long").alias("block"), "turn", "text", "obs")
-    # Rows of one block meet in one task; equal numbers are told apart by text, equal texts count as one row.
-    once = placed.distinct()
+    placed = light.where("conv is not null and turn is not null").select("conv", F.floor((F.col("turn") - F.col("first")) / BLOCK).cast("long").alias("block"), "turn", "h", "obs")
+    # Rows of one block meet in one task; equal numbers are told apart by hash, equal texts count as one row.
+    once = scratch.put(placed.distinct(), "once")
     sorted_blocks = lambda df, *order: df.repartition("conv", "block").sortWithinPartitions("conv", "block", *order)
     states = [f"m{i}" for i in range(K * K)]
     matrix_schema = pa.schema([("conv", pa.int64()), ("block", pa.int64()), *[(m, pa.float64()) for m in states]])
@@ -164,7 +166,7 @@ def recover(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
 
         yield from _chunked(found(), matrix_schema)
 
-    levels = [scratch.put(sorted_blocks(once, "turn", "text").select("conv", "block", "obs").mapInArrow(up, ddl), "level0")]
+    levels = [scratch.put(sorted_blocks(once, "turn", "h").select("conv", "block", "obs").mapInArrow(up, ddl), "level0")]
     while levels[-1].agg(F.max("block")).collect()[0][0]:
         parents = levels[-1].select("conv", F.floor(F.col("block") / BLOCK).cast("long").alias("parent"), "block", *states)
         ordered = parents.repartition("conv", "parent").sortWithinPartitions("conv", "parent", "block")
@@ -201,7 +203,7 @@ def recover(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
         both = parents.join(up_there, ["conv", "parent"]).select("conv", "parent", "block", "before", "last", *states)
         around = both.repartition("conv", "parent").sortWithinPartitions("conv", "parent", "block").mapInArrow(down, "conv long, block long, before int, last int")
     around = scratch.put(around, "around_blocks")
-    path_schema = pa.schema([("conv", pa.int64()), ("turn", pa.int64()), ("text", pa.string()), ("s", pa.int32())])
+    path_schema = pa.schema([("conv", pa.int64()), ("turn", pa.int64()), ("h", pa.int64()), ("s", pa.int32())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
@@ -210,12 +212,13 @@ def recover(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
                 for r, s in zip(held, path, strict=True):
                     yield c, r[0], r[1], int(s)
 
-        yield from _chunked(found(), path_schema, 1000)
+        yield from _chunked(found(), path_schema)
 
-    told = once.join(around, ["conv", "block"]).select("conv", "block", "turn", "text", "obs", "before", "last")
-    path = scratch.put(sorted_blocks(told, "turn", "text").mapInArrow(decode, "conv long, turn long, text string, s int"), "path")
+    told = once.join(around, ["conv", "block"]).select("conv", "block", "turn", "h", "obs", "before", "last")
+    path = scratch.put(sorted_blocks(told, "turn", "h").mapInArrow(decode, "conv long, turn long, h long, s int"), "path")
     names = F.array(*[F.lit(s) for s in STATES])
-    out = rows.select("conv", "turn", "text").join(path, ["conv", "turn", "text"], "left").withColumn("role_pred", F.get(names, F.col("s")))
+    texts = base.select("conv", "turn", "text", F.xxhash64("text").alias("h"))
+    out = texts.join(path, ["conv", "turn", "h"], "left").withColumn("role_pred", F.get(names, F.col("s")))
     body = F.rtrim(F.regexp_replace(F.regexp_replace("text", _STRIP, ""), r"<\|im_end\|>\s*$", ""))
     out = out.select(F.col("conv").alias(conv), F.col("turn").alias(turn), "role_pred", F.concat(F.lit("<|"), F.col("role_pred"), F.lit("|>\n"), body, F.lit("\n")).alias("rendered"))
     result = scratch.put(out, "result")
