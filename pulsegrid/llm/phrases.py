@@ -25,6 +25,8 @@ _BASE = U64(0x9E6D62D06F6A9A9B)
 _INVERSE = U64(pow(0x9E6D62D06F6A9A9B, -1, 1 << 64))
 #: Documents that are hashed together have about so many characters.
 BATCH_CHARS = 1_000_000
+#: Bytes of texts in a range of keys, which is one task, if the session's shuffle partitions do not make it less.
+RANGE_BYTES = 32 << 20
 
 
 def parse(text: str, known: set[str], phrase: str = "", at: int = 0) -> tuple[list[int], str]:
@@ -156,9 +158,10 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long")), F.count_if(F.col("key").isNull())).collect()[0]
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size[0] or 0) // RANGE_BYTES))
     heads = np.array(_heads(rows, buckets), np.int64)
-    nulls = bool(rows.where("key is null").limit(1).count())
+    nulls = bool(size[1])
     last = max(0, len(heads) - 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,6 +174,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             first = ~none & (heads[at] == values) if len(heads) else np.zeros(len(values), bool)
             leads = np.flatnonzero(first & (at > 0))  # to the range before
             wraps = np.flatnonzero(none if nulls else first & (at == 0))  # to the last range
+            if nulls and len(wraps):  # the least text of the batch will do
+                texts = batch.column(1)
+                wraps = wraps[[min(range(len(wraps)), key=lambda i: texts[int(wraps[i])].as_py().encode("utf-8", "surrogatepass"))]]
             take = np.concatenate([np.arange(len(values)), leads, wraps])
             place = np.concatenate([at, at[leads] - 1, np.full(len(wraps), last)])
             copied = np.concatenate([np.zeros(len(values), np.int32), np.ones(len(leads), np.int32), np.full(len(wraps), 2, np.int32)])
