@@ -2,8 +2,9 @@
 
 Only documents carry labels, so tokens are labelled first: a word, prefix or suffix whose share of toxic
 documents is significantly above its share of clean ones (a G test, Bonferroni-corrected over all
-features) marks its tokens inside toxic documents; every other token is clean. Near copies in the sample
-count as one document, else a copied document's own words would look significant.
+features) marks its tokens inside toxic documents; every other token is clean. A token that an earlier
+document of its label has among the same neighbours does not count again, else the words of copied
+passages would look significant.
 """
 
 from __future__ import annotations
@@ -18,42 +19,45 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm import crf, sampling
 from pulsegrid.llm.scratch import release, small_batches
-from pulsegrid.llm.textnum import column_bytes, minhash, shingle_sets, slices
+from pulsegrid.llm.textnum import U64, column_bytes, mix, slices
 
 #: Labelled documents that the field is fitted on: at most so many of each label.
 SAMPLE_PER_LABEL = 2500
 THRESHOLD = 0.3
+#: Words on either side by which a token in a copied passage is known.
+AROUND = 4
 
 
-def _representatives(parts, hashes: int = 64, least: float = 0.8) -> list[np.ndarray]:
-    """For the documents of each part, whether no earlier counted one of the same label is a near copy: shares
-    ``least`` of their shingles. Pairs whose minimum hashes agree that far, with much to spare, are compared whole."""
-    sets = [s for d, o, _ in parts for s in shingle_sets(d, o)]
-    label = np.concatenate([x for _, _, x in parts])
-    signatures = minhash(sets, hashes)
-    first = np.ones(len(sets), bool)
-    for k in (0, 1):
-        left = np.flatnonzero(label == k)
-        while len(left):
-            lead, left = left[0], left[1:]
-            near = (signatures[left] == signatures[lead]).sum(1) >= (least - 0.2) * hashes
-            for i in np.flatnonzero(near):
-                x, y = sets[lead], sets[left[i]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near[i] = both >= least * (len(x) + len(y) - both)
-            first[left[near]] = False
-            left = left[~near]
-    return np.split(first, np.cumsum([len(x) for _, _, x in parts])[:-1])
-
-
-def _feature_counts(parts, size: int):
-    """Documents of either label that hold each feature."""
-    counts = np.zeros((size, 2), np.float32)
-    for words, label, counted in parts:
+def _fresh(parts) -> list[np.ndarray]:
+    """Tokens of each part that no earlier document of the same label has among the same ``AROUND`` neighbours on
+    either side. What documents copy from each other, whole or in passages, thus counts once, and what they
+    add counts in full."""
+    seen = []
+    for words, label in parts:
+        own = words.hashes[words.which]
         doc = np.repeat(np.arange(len(label)), np.diff(words.first))
-        once = np.unique(doc * np.int64(len(words.hashes)) + words.which)
+        found = mix(own + label[doc].astype(U64))
+        for k in range(1, AROUND + 1):
+            same = doc[k:] == doc[:-k]
+            found[k:] += mix(np.where(same, own[:-k], U64(0)) + U64(2 * k)) * U64(4 * k + 1)
+            found[:-k] += mix(np.where(same, own[k:], U64(0)) + U64(2 * k + 1)) * U64(4 * k + 3)
+        seen.append(found)
+    every = np.concatenate([np.zeros(0, U64), *seen])
+    fresh = np.zeros(len(every), bool)
+    fresh[np.unique(every, return_index=True)[1]] = True
+    return np.split(fresh, np.cumsum([len(x) for x in seen])[:-1]) if seen else []
+
+
+def _feature_counts(parts, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of either label that hold each feature in a fresh token, and how many documents the fresh tokens
+    of either label amount to."""
+    counts, totals = np.zeros((size, 2), np.float32), np.zeros(2)
+    for words, label, fresh in parts:
+        n = np.diff(words.first)
+        doc = np.repeat(np.arange(len(label)), n)
+        totals += np.bincount(label, np.bincount(doc[fresh], minlength=len(label)) / np.maximum(n, 1), 2)
+        once = np.unique(doc[fresh] * np.int64(len(words.hashes)) + words.which[fresh])
         d, w = once // max(1, len(words.hashes)), once % max(1, len(words.hashes))
-        d, w = d[counted[d]], w[counted[d]]
         slots = words.fixed[w]
         flat = np.unique(np.repeat(d, slots.shape[1]) * np.int64(size) + slots.ravel())
         d, slot = flat // size, flat % size
@@ -61,7 +65,7 @@ def _feature_counts(parts, size: int):
             found, n = np.unique(slot[label[d] == k], return_counts=True)
             counts[found, k] += n
     counts[0] = 0
-    return counts
+    return counts, totals
 
 
 def _marked(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -75,7 +79,7 @@ def _marked(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
         g = 2 * sum(np.where(counts[:, k] > 0, counts[:, k] * np.log(counts[:, k] / (n * p)), 0) for k, p in ((0, 1 - rate), (1, rate)))
         toxic_share = counts[:, 1] / max(1, totals[1])
         clean_share = counts[:, 0] / max(1, totals[0])
-    marked[tested] = (g >= 2 * np.log(max(2, seen)) + 2) & (toxic_share >= 8 * clean_share)
+    marked[tested] = (g >= 2 * np.log(max(2, seen))) & (toxic_share >= 8 * clean_share)
     return marked
 
 
@@ -114,10 +118,8 @@ def fit(sample: pa.Table, totals: dict[str, int], epochs: int = 8, batch_bytes:
     features = crf.Features(prefixes=(3, 4, 5, 6, 7), suffixes=(3, 4, 5), bits=21)
     raw = [(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], label[i:j]) for i, j in slices(offsets, batch_bytes)]
     parts = [(_lean(features.words(d, o)), y) for d, o, y in raw]
-    counted = _representatives(raw) if raw else []
     in_sample = np.bincount(label, minlength=2).astype(float)
-    distinct = np.bincount(label[np.concatenate(counted)], minlength=2).astype(float) if raw else in_sample
-    marked = _marked(_feature_counts([(w, y, c) for (w, y), c in zip(parts, counted, strict=True)], 1 << features.bits), distinct)
+    marked = _marked(*_feature_counts([(w, y, f) for (w, y), f in zip(parts, _fresh(parts), strict=True)], 1 << features.bits))
     batches = []
     for words, y in parts:
         hit = marked[words.fixed].any(1)
