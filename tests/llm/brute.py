@@ -106,3 +106,40 @@ def url_templates(paths: dict):
         b, n = sum(r[3] for r in rows), sum(r[3] + r[4] for r in rows)
         visit(rows, "", (b + 2 * prior) / (n + 2) if n else prior, n)
     return out
+
+
+def marginals(score, transitions, start):
+    """Marginals of each token's states by going through every path."""
+    from itertools import product
+
+    import numpy as np
+
+    n, k = score.shape
+    out = np.zeros((n, k))
+    for path in product(range(k), repeat=n):
+        total = start[path[0]] + sum(score[i, s] for i, s in enumerate(path)) + sum(transitions[a, b] for a, b in zip(path, path[1:]))
+        for i, s in enumerate(path):
+            out[i, s] += np.exp(total)
+    return out / out.sum(1, keepdims=True)
+
+
+def best_path(observed, start, move, emit):
+    """The most probable states, the least ones on ties, by going through every path."""
+    from itertools import product
+
+    score = lambda p: start[p[0]] + sum(emit[s, o] for s, o in zip(p, observed)) + sum(move[a, b] for a, b in zip(p, p[1:]))
+    return max(product(range(len(start)), repeat=len(observed)), key=lambda p: (round(score(p), 9), [-s for s in p[::-1]]))
+
+
+def lz78(text):
+    """Phrases of a text: each the shortest string that is not a phrase before it."""
+    known, i = [], 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in known:
+            j += 1
+        if j > len(text):
+            break
+        known.append(text[i:j])
+        i = j
+    return known

@@ -10,10 +10,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import components, contamination, url_templates
+from brute import best_path, components, contamination, lz78, marginals, url_templates
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import chat, decontaminate, langid, neardup, phrases, pieces, queries, sampling, tokens, toxicity, urls, warc
+from pulsegrid.llm import chat, crf, decontaminate, langid, neardup, phrases, pieces, queries, sampling, tokens, toxicity, urls, warc
 from pulsegrid.llm.scratch import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -284,3 +284,63 @@ def test_samples_are_bounded_by_rows_and_bytes(spark):
     found = sampling.texts_of(df, "k", "text", chosen, 200)
     assert found.num_rows == 20 and set(found["k"].to_pylist()) == {c[0] for c in chosen[:20]}
     assert sampling.texts_of(df, "k", "text", chosen, 1).num_rows == 2
+
+
+def test_forward_backward_equals_all_paths():
+    rng = np.random.default_rng(6)
+    lengths = [3, 1, 0, 5, 2]
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    score, transitions, start = rng.normal(size=(first[-1], 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+    for block in (48, 2):  # documents of one block and of several
+        crf.BLOCK, before = block, crf.BLOCK
+        got, expected, began = crf.forward_backward(score, first, transitions, start, True)
+        crf.BLOCK = before
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            if b > a:
+                assert np.allclose(got[a:b], marginals(score[a:b], transitions, start))
+        assert np.isclose(expected.sum(), sum(max(0, n - 1) for n in lengths)) and np.isclose(began.sum(), 4)
+
+
+def test_chat_block_path_equals_all_paths():
+    rng = np.random.default_rng(8)
+    start, move, emit = np.log(rng.dirichlet(np.ones(3))), np.log(rng.dirichlet(np.ones(3), 3)), np.log(rng.dirichlet(np.ones(chat.OBSERVATIONS), 3))
+    for n in (1, 2, 6):
+        obs = rng.integers(0, chat.OBSERVATIONS, n)
+        matrix = chat._block_matrix(obs, True, start, move, emit)
+        path = chat._block_path(obs, True, 0, int(matrix[0].argmax()), start, move, emit)
+        assert tuple(path) == best_path(obs, start, move, emit)
+
+
+def test_phrase_sets_equal_plain_lz78():
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("abé "), int(rng.integers(1, 300)))) for _ in range(30)]
+    for x, y in zip(texts, texts[1:], strict=False):
+        a, b = set(lz78(x)), set(lz78(y))
+        assert len(phrases.fingerprint(x)) == min(len(a), phrases.SKETCH)
+        if len(a | b) <= phrases.SKETCH:  # a sketch that holds all is exact
+            assert phrases.likeness(phrases.fingerprint(x), phrases.fingerprint(y)) == pytest.approx(len(a & b) / len(a | b))
+
+
+def test_pipeline_equals_plain_stages(spark):
+    """Each stage keeps what its operator's own verdict, or a plain version of it, says."""
+    import corpus_pipeline
+
+    now = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    scored = toxicity.score(now, labels, train=sampling.fold("doc_id", 4) != 2)
+    after = stages["toxicity"](spark, now, SF)
+    assert kept(after) == kept(scored.where("predicted = 0"))
+    found = langid.identify(after, train=sampling.fold("doc_id", 3) != 1, runs=False)
+    spoken = stages["language_id"](spark, after, SF)
+    assert kept(spoken) == kept(found.where("lang_pred <> 'und' and score >= 0.3"))
+    texts = dict(spoken.select("doc_id", "text").collect())
+    want, _ = components(texts, 80)
+    single = stages["near_dedup"](spark, spoken, SF)
+    assert kept(single) == {k for k, c in want.items() if k == c}
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    clean = stages["decontamination"](spark, single, SF)
+    hits = contamination(dict(single.select("doc_id", "text").collect()), items)
+    assert kept(clean) == {k for k, (_, n, _) in hits.items() if not n}
+    assert kept(stages["sentencepiece"](spark, clean, SF)) == kept(clean)
