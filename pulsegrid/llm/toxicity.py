@@ -37,10 +37,11 @@ def _fresh(parts) -> list[np.ndarray]:
         own = words.hashes[words.which]
         doc = np.repeat(np.arange(len(label)), np.diff(words.first))
         found = mix(own + label[doc].astype(U64))
-        for k in range(1, AROUND + 1):
-            same = doc[k:] == doc[:-k]
-            found[k:] += mix(np.where(same, own[:-k], U64(0)) + U64(2 * k)) * U64(4 * k + 1)
-            found[:-k] += mix(np.where(same, own[k:], U64(0)) + U64(2 * k + 1)) * U64(4 * k + 3)
+        edge = np.full(AROUND, -1)
+        wide, docs = np.concatenate([edge.astype(U64), own, edge.astype(U64)]), np.concatenate([edge, doc, edge])
+        for step in (k for k in range(-AROUND, AROUND + 1) if k):
+            at = slice(AROUND + step, AROUND + step + len(own))
+            found += mix(np.where(docs[at] == doc, wide[at], U64(0)) + U64(step + AROUND)) * U64(2 * (step + AROUND) + 3)
         seen.append(found)
     every = np.concatenate([np.zeros(0, U64), *seen])
     fresh = np.zeros(len(every), bool)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm import chat, crf, decontaminate, langid, neardup, phrases, pieces, queries, sampling, tokens, toxicity, urls, warc
 from pulsegrid.llm.scratch import Scratch
+from pulsegrid.llm.textnum import column_bytes
 
 SF = "/root/testdata/sf0.001"
 
@@ -344,3 +345,45 @@ def test_pipeline_equals_plain_stages(spark):
     hits = contamination(dict(single.select("doc_id", "text").collect()), items)
     assert kept(clean) == {k for k, (_, n, _) in hits.items() if not n}
     assert kept(stages["sentencepiece"](spark, clean, SF)) == kept(clean)
+
+
+def test_toxic_edits_of_clean_documents_count():
+    """Copies count once within one label, but not across labels, and what a document adds to a shared passage counts."""
+    page = " ".join(f"w{i}" for i in range(100))
+    half = lambda x: " ".join([*page.split()[:60], *(f"{x}{i}" for i in range(40))])
+    texts = [page, page + " foul", page, page + " foul", half("a"), half("b"), half("c"), "", ""]
+    words = crf.Features().words(*column_bytes(pa.array(texts)))
+    (fresh,) = toxicity._fresh([(words, np.array([0, 1, 0, 1, 1, 1, 1, 0, 0]))])
+    parts = np.split(fresh, words.first[1:-1])
+    assert [int(x.sum()) for x in parts] == [100, 101, 0, 0, 44, 44, 44, 0, 0]
+    assert all(x[60:].all() for x in parts[4:7])
+
+
+def test_languages_of_mixed_text(spark):
+    en, fr = "the cat sat on the mat with the dog and ate", "le chat était très fâché dans la maison avec été"
+    rows = [(i, en if i % 2 else fr, "en" if i % 2 else "fr") for i in range(1, 41)]
+    rows += [(50, f"{fr} {fr}\n{en} {en}", None), (51, "  ", None), (52, None, None), (53, fr, None)]
+    out = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    mixed = rows[40][1]
+    assert [(mixed[r.start : r.end], r.lang) for r in out[50].runs] == [(f"{fr} {fr}", "fr"), (f"{en} {en}", "en")]
+    assert all(len(r.runs) == (r.n_switches + 1 if r.lang_pred != "und" else 0) for r in out.values())
+    assert out[51].runs == out[52].runs == [] and [tuple(r) for r in out[53].runs] == [(0, len(fr), "fr")]
+
+
+def test_added_tokens_inside_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = [
+        "end of text <|endoftext|> next", "Plain words", "<|ENDOFTEXT|> is none", None, "a<|startoftext|>b<|endoftext|><|endoftext|>C  d", "", "<|endoftext|>",
+        "<|endoftext |> nor this", "Last É 1.2 <|startoftext|>İx", "end",
+    ]
+    out = Scratch(spark, "t").path("ids")
+    tokens.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1), out, path)
+    got = {r.doc_id: (r.ids, r.start) for r in tokens.read(spark, out).collect()}
+    start = 0
+    for i, text in enumerate(texts):
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 1]
+        assert got[i] == (ids, start)
+        start += len(ids)
