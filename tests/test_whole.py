@@ -6,7 +6,6 @@ from datetime import timedelta
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,28 +56,6 @@ def test_job_context_has_all_jobs(spark, few_jobs):
     assert {(r.host_id, r.ts): (r.n, r.cpus) for r in run("job_minute_expand")} == {k: (len(v), sum(v)) for k, v in count.items()}
 
 
-def test_added_tokens_inside_texts(spark):
-    from tokenizers import Tokenizer
-
-    from pulsegrid.llm import queries, tokens
-    from pulsegrid.llm.scratch import Scratch
-
-    path = queries.tokenizer_file("word_bpe_49k.json")
-    library = Tokenizer.from_file(path)
-    texts = [
-        "end of text <|endoftext|> next", "Plain words", "<|ENDOFTEXT|> is none", None, "a<|startoftext|>b<|endoftext|><|endoftext|>C  d", "", "<|endoftext|>",
-        "<|endoftext |> nor this", "Last É 1.2 <|startoftext|>İx", "end",
-    ]
-    out = Scratch(spark, "t").path("ids")
-    tokens.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1), out, path)
-    got = {r.doc_id: (r.ids, r.start) for r in tokens.read(spark, out).collect()}
-    start = 0
-    for i, text in enumerate(texts):
-        ids = [*library.encode(text or "", add_special_tokens=False).ids, 1]
-        assert got[i] == (ids, start)
-        start += len(ids)
-
-
 def test_isolation_threshold_covers_all_rows(spark):
     from pulsegrid.operators import learn
 
@@ -135,29 +112,3 @@ def test_kmeans_finds_twelve_clusters(spark, tmp_path):
     rows = [(i, (centres[i % 12] + rng.normal(size=12)).tolist()) for i in range(360)]
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert catalog.queries()["kmeans_fit"](spark, str(tmp_path)).select("cluster_id").distinct().count() == 12
-
-
-def test_toxic_edits_of_clean_documents_count():
-    """Only near copies of one label are merged: not other labels, not those that share half their text."""
-    from pulsegrid.llm import toxicity
-    from pulsegrid.llm.textnum import column_bytes
-
-    page = " ".join(f"w{i}" for i in range(100))
-    half = lambda x: " ".join([*page.split()[:60], *(f"{x}{i}" for i in range(40))])
-    texts = [page, page + " foul", page, page + " foul", half("a"), half("b"), half("c"), "", ""]
-    label = np.array([0, 1, 0, 1, 1, 1, 1, 0, 0])
-    (counted,) = toxicity._representatives([(*column_bytes(pa.array(texts)), label)])
-    assert counted.tolist() == [True, True, False, False, True, True, True, True, False]
-
-
-def test_languages_of_mixed_text(spark):
-    from pulsegrid.llm import langid
-
-    en, fr = "the cat sat on the mat with the dog and ate", "le chat était très fâché dans la maison avec été"
-    rows = [(i, en if i % 2 else fr, "en" if i % 2 else "fr") for i in range(1, 41)]
-    rows += [(50, f"{fr} {fr}\n{en} {en}", None), (51, "  ", None), (52, None, None), (53, fr, None)]
-    out = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    mixed = rows[40][1]
-    assert [(mixed[r.start : r.end], r.lang) for r in out[50].runs] == [(f"{fr} {fr}", "fr"), (f"{en} {en}", "en")]
-    assert all(len(r.runs) == (r.n_switches + 1 if r.lang_pred != "und" else 0) for r in out.values())
-    assert out[51].runs == out[52].runs == [] and [tuple(r) for r in out[53].runs] == [(0, len(fr), "fr")]
