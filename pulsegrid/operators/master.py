@@ -62,26 +62,84 @@ def in_maintenance(ts: Column, windows: Windows) -> Column:
     return reduce(lambda a, w: a | ts.between(F.lit(w[0]).cast("timestamp_ntz"), F.lit(w[1]).cast("timestamp_ntz")), windows, F.lit(False))
 
 
+_UNITS = {"1 minute": "minute", "1 hour": "hour", "1 day": "day"}
+
+
+def _expandable(start: str, end: str, limit_h: float) -> Column:
+    hours = (F.unix_micros(F.col(end).cast("timestamp")) - F.unix_micros(F.col(start).cast("timestamp"))) / 3.6e9
+    return (F.col(start) <= F.col(end)) & (hours <= limit_h)
+
+
 def expand_jobs(jobs: DataFrame, start: str, end: str, step: str = "1 minute", limit_h: float = 100.0) -> DataFrame:
     """A row per step from start to end, both floored and included, for jobs no longer than the limit."""
-    unit = {"1 minute": "minute", "1 hour": "hour", "1 day": "day"}[step]
-    hours = (F.unix_micros(F.col(end).cast("timestamp")) - F.unix_micros(F.col(start).cast("timestamp"))) / 3.6e9
+    unit = _UNITS[step]
     a, b = F.date_trunc(unit, F.col(start)).cast("timestamp_ntz"), F.date_trunc(unit, F.col(end)).cast("timestamp_ntz")
-    kept = jobs.where((F.col(start) <= F.col(end)) & (hours <= limit_h))
-    return kept.withColumn("ts", F.explode(F.sequence(a, b, F.expr(f"INTERVAL '{step.split()[0]}' {unit.upper()}"))))
+    return jobs.where(_expandable(start, end, limit_h)).withColumn("ts", F.explode(F.sequence(a, b, F.expr(f"INTERVAL '{step.split()[0]}' {unit.upper()}"))))
 
 
-def job_context(expanded: DataFrame, keys: Sequence[str], job: str, cpus: str) -> DataFrame:
-    """Jobs active per key, in order of their ids: list, shares of cpus, count, first job, sole-job flag."""
-    packed = F.array_sort(F.collect_set(F.struct(F.col(job).alias("j"), F.col(cpus).alias("c"))))
-    out = expanded.groupBy(*keys).agg(packed.alias("_a"))
+def _contexts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The columns of a context from ``_a``, the jobs (j) and cpus (c) in their order."""
     total = F.aggregate("_a", F.lit(0.0), lambda acc, x: acc + x["c"])
-    return out.select(
-        *keys, F.transform("_a", lambda x: x["j"]).alias("jobs"), F.transform("_a", lambda x: x["c"]).alias("shares"), F.size("_a").cast("long").alias("active_job_count"),
+    return df.select(
+        *keys, F.col("_a.j").alias("jobs"), F.col("_a.c").alias("shares"), F.size("_a").cast("long").alias("active_job_count"),
         F.element_at("_a", 1)["j"].alias("primary_job_id"), F.element_at("_a", 1)["c"].alias("primary_job_share"), total.alias("total_job_share"), (F.size("_a") > 1).alias("is_multi_job"),
     )
 
 
+def job_context(expanded: DataFrame, keys: Sequence[str], job: str, cpus: str) -> DataFrame:
+    """Jobs active per key, in order of their ids: list, shares of cpus, count, first job, sole-job flag."""
+    packed = F.array_sort(F.collect_set(F.struct(F.col(job).alias("j"), F.col(cpus).alias("c"))))
+    return _contexts(expanded.groupBy(*keys).agg(packed.alias("_a")), keys)
+
+
+#: Steps of a block, whose jobs are sorted once, and blocks that are dealt to a task together.
+STEPS = 16
+BLOCKS = 32
+
+
+def job_contexts(jobs: DataFrame, keys: Sequence[str], job: str, cpus: str, start: str, end: str, step: str = "1 minute", limit_h: float = 100.0) -> DataFrame:
+    """``job_context`` per key and step (``ts``) of ``expand_jobs``, expanded after the shuffle and not before.
+
+    Jobs are dealt as intervals, by key and span of ``STEPS * BLOCKS`` steps, sorted once per block of ``STEPS``
+    with the steps that they take as bits, and each step picks its own from its block. So what is shuffled
+    and sorted follows jobs and touched blocks, and no task holds a key's whole series.
+    """
+    unit, epoch = _UNITS[step], F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+    def number(ts: Column) -> Column:
+        at = ts.cast("timestamp_ntz")
+        days = F.datediff(at.cast("date"), F.lit("1970-01-01").cast("date"))
+        return {"day": days, "hour": days * 24 + F.hour(at), "minute": (days * 24 + F.hour(at)) * 60 + F.minute(at)}[unit]
+
+    def over(n: Column, width: int) -> Column:
+        return F.floor(n / width).cast("int")
+
+    def bit(n: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1), n)
+
+    dealt = jobs.where(_expandable(start, end, limit_h)).select(*keys, F.col(job).alias("_j"), F.col(cpus).alias("_c"), number(F.col(start)).alias("_from"), number(F.col(end)).alias("_to"))
+    dealt = dealt.withColumn("_span", F.explode(F.sequence(over(F.col("_from"), STEPS * BLOCKS), over(F.col("_to"), STEPS * BLOCKS)))).repartition(*keys, "_span")
+    first = F.greatest(over(F.col("_from"), STEPS), F.col("_span") * BLOCKS)
+    last = F.least(over(F.col("_to"), STEPS), F.col("_span") * BLOCKS + BLOCKS - 1)
+    dealt = dealt.withColumn("_block", F.explode(F.sequence(first, last)))
+    at = F.col("_block") * STEPS
+    taken = bit(F.least(F.col("_to") - at, F.lit(STEPS - 1)) + 1) - bit(F.greatest(F.col("_from") - at, F.lit(0)))
+    dealt = dealt.select(*keys, "_span", "_block", F.struct(F.col("_j").alias("j"), F.col("_c").alias("c"), taken.alias("m")).alias("_x"))
+    blocks = dealt.groupBy(*keys, "_span", "_block").agg(F.sort_array(F.collect_list("_x")).alias("_all"), F.bit_or("_x.m").alias("_any"))
+
+    def again(rows: str):
+        """Whether an element has the job and cpus of the one before."""
+        return lambda x, i: (i > 0) & x["j"].eqNullSafe(F.get(rows, i - 1)["j"]) & x["c"].eqNullSafe(F.get(rows, i - 1)["c"])
+
+    blocks = blocks.withColumn("_twice", F.size(F.filter("_all", again("_all"))) > 0)
+    steps = blocks.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1)))).where(F.getbit("_any", F.col("_s")) == 1)
+    steps = steps.withColumn("_now", F.filter("_all", lambda x: F.getbit(x["m"], F.col("_s")) == 1))
+    once = F.when(F.col("_twice"), F.filter("_now", lambda x, i: ~again("_now")(x, i))).otherwise(F.col("_now"))
+    n = F.col("_block") * STEPS + F.col("_s")
+    ts = epoch + F.make_dt_interval(**{{"day": "days", "hour": "hours", "minute": "mins"}[unit]: n})
+    return _contexts(steps.select(*keys, ts.alias("ts"), once.alias("_a")), [*keys, "ts"])
+
+
 def share_per_job(context: DataFrame, keys: Sequence[str], jobs: str = "jobs", shares: str = "shares") -> DataFrame:
     """Parallel lists of jobs and shares summed per job."""
     pairs = context.select(*keys, F.explode(F.arrays_zip(jobs, shares)).alias("_z"))

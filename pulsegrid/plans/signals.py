@@ -227,8 +227,7 @@ def job_context_per_bucket(spark, d):
 
 @query(_ctx + " SELECT host_id, job_id, SUM(cpus) AS share FROM x GROUP BY ALL")
 def cpu_share_merge(spark, d):
-    x = master.expand_jobs(jobs(spark, d), "start_time", "end_time", "1 day", 24 * 60)
-    c = master.job_context(x, ["host_id", "ts"], "job_id", "cpus")
+    c = master.job_contexts(jobs(spark, d), ["host_id"], "job_id", "cpus", "start_time", "end_time", "1 day", 24 * 60)
     return master.share_per_job(c, ["host_id"])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -56,6 +56,50 @@ def test_job_context_has_all_jobs(spark, few_jobs):
     assert {(r.host_id, r.ts): (r.n, r.cpus) for r in run("job_minute_expand")} == {k: (len(v), sum(v)) for k, v in count.items()}
 
 
+@pytest.mark.parametrize("step, unit", [("1 minute", 60), ("1 hour", 3600), ("1 day", 86400)])
+def test_contexts_by_blocks_are_those_of_expanded_jobs(spark, step, unit):
+    from pulsegrid.operators import master
+
+    rng = np.random.default_rng(1)
+    begin = datetime(1970, 1, 1) - timedelta(seconds=300 * unit)  # steps before and after 0
+    rows = []
+    for i in range(400):
+        a = begin + timedelta(seconds=int(rng.integers(0, 1500 * unit)))
+        length = int(rng.integers(0, 60 * unit)) if i % 20 else 1400 * unit
+        rows.append((None if i % 9 == 0 else int(rng.integers(0, 3)), int(rng.integers(0, 40)), None if i % 11 == 0 else float(rng.integers(1, 3)), a, a + timedelta(seconds=length - (2 * length if i % 50 == 7 else 0))))
+    rows.append((1, 5, 1.0, begin, None))
+    jobs = spark.createDataFrame(rows, "h long, j long, c double, a timestamp_ntz, b timestamp_ntz")
+    limit = 1300 * unit / 3600
+    want = master.job_context(master.expand_jobs(jobs, "a", "b", step, limit), ["h", "ts"], "j", "c")
+    got = master.job_contexts(jobs, ["h"], "j", "c", "a", "b", step, limit)
+    assert got.columns == ["h", "ts", *want.columns[2:]] and got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert want.where("active_job_count > 3").count() > 100
+
+
+def shuffled_rows(spark, df) -> int:
+    """Rows that the exchanges of a query write."""
+    found, rest = 0, [df._jdf.queryExecution().executedPlan()]
+    while rest:
+        node = rest.pop()
+        if node.nodeName().startswith("Exchange"):
+            found += node.metrics().apply("shuffleRecordsWritten").value()
+        rest += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+@pytest.mark.parametrize("name", ["cpu_share_merge"])
+def test_jobs_are_shuffled_before_they_are_expanded(spark, few_jobs, name):
+    d, tasks = few_jobs
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = catalog.queries()[name](spark, d)
+        df.collect()
+        assert 0 < shuffled_rows(spark, df) <= 3 * len(tasks)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_isolation_threshold_covers_all_rows(spark):
     from pulsegrid.operators import learn
 
