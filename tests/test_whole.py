@@ -88,7 +88,7 @@ def shuffled_rows(spark, df) -> int:
     return found
 
 
-@pytest.mark.parametrize("name", ["cpu_share_merge"])
+@pytest.mark.parametrize("name", ["cpu_share_merge", "job_context_per_bucket"])
 def test_jobs_are_shuffled_before_they_are_expanded(spark, few_jobs, name):
     d, tasks = few_jobs
     spark.conf.set("spark.sql.adaptive.enabled", "false")
