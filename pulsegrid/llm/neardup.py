@@ -10,8 +10,8 @@ trees with 1e-5.
 A node whose classes all belong to one component is finished. Any other compares all its classes with its
 smallest class first, which settles a group of copies in linear time. If it still has several components
 and at most ``OUTSIDE`` classes outside the largest, these are compared with all its classes exhaustively, in
-blocks; else it branches. After ``DEPTH`` levels what is left is compared exhaustively whatever its size, by
-pairs of blocks. Links are confirmed on the full sets; a pair reaches that step unless its minimum hashes
+blocks; else it branches. Once ``REST`` rows are left, and after ``DEPTH`` levels whatever is, all are compared
+exhaustively, by pairs of blocks. Links are confirmed on the full sets; a pair reaches that step unless its minimum hashes
 differ 4.5 standard deviations more than the threshold allows.
 """
 
@@ -35,6 +35,8 @@ BINS = 512
 BRANCH = 2
 OUTSIDE = 2048
 DEPTH = 3
+#: Rows of unfinished nodes, of all together, that are compared exhaustively at once.
+REST = 4096
 #: Keys broadcast at most (8 bytes each) when texts to confirm are picked; beyond it both sides are shuffled.
 BROADCAST_KEYS = 1_000_000
 
@@ -252,7 +254,8 @@ def _near(stars: DataFrame, small: DataFrame, reps: DataFrame, sigs: DataFrame,
     groups = scratch.put(_in_groups(small, reps, percent), "groups")
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).union(groups.select("key"))
     sketches = scratch.put(_sketches_of(keys.distinct(), sigs), "sketches")
-    return _near_by_sketch(pairs, sketches, percent).union(_near_inside(groups, sketches, percent))
+    inside = _near_inside(groups, sketches, percent)
+    return inside if pairs.isEmpty() else _near_by_sketch(pairs, sketches, percent).union(inside)
 
 
 def _links(docs: DataFrame, key: str, text: str, near: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame | None:
@@ -291,13 +294,18 @@ def group(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     comps: DataFrame | None = None
     stale = False
     for level in range(2 * DEPTH + 2):
-        last = level == 2 * DEPTH + 1
         inner = frontier.groupBy("node", "comp").agg(F.count("*").alias("c"), F.min("key").alias("least"), F.max("starred").alias("starred"))
         stats = inner.groupBy("node").agg(F.sum("c").alias("total"), F.max(F.struct("c", "comp")).alias("major"), F.min(F.struct("least", "comp")).alias("pivot"), F.max("starred").alias("was"))
         outside = F.col("total") - F.col("major.c")
-        small = F.lit(last) | (F.col("total") <= 3) | (F.col("was") & (outside <= OUTSIDE))
+        small = (F.col("total") <= 3) | (F.col("was") & (outside <= OUTSIDE))
         stats = stats.where(outside > 0).select("node", "was", small.alias("small"), "total", outside.alias("outside"), F.col("major.comp").alias("top"), F.col("pivot.least").alias("pivot"), F.col("pivot.comp").alias("pivot_comp"))
         stats = scratch.put(stats, "stats")
+        left = stats.agg(F.sum("total")).first()[0] or 0
+        if not left:
+            break
+        last = left <= REST or level == 2 * DEPTH + 1
+        if last:
+            stats = stats.withColumn("small", F.lit(True))
         open_ = scratch.put(frontier.drop("starred").join(stats, "node"), "open")
         stars = open_.where("not small and not was and comp != pivot_comp and key != pivot")
         near = _near(stars.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")), open_.where("small"), reps, sigs, percent, scratch)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pulsegrid.llm import chat, decontaminate, langid, neardup, phrases, pieces, queries, tokens, toxicity, urls, warc
+from pulsegrid.llm import chat, components, decontaminate, langid, neardup, phrases, pieces, queries, tokens, toxicity, urls, warc
 from pulsegrid.llm.scratch import Scratch
 
 PIECES, WORDS = queries.tokenizer_file("piece_bpe_32k.model"), queries.tokenizer_file("word_bpe_49k.json")
@@ -154,3 +154,25 @@ def test_pipeline_stage_edges(spark, stage):
     rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, LONG, "en", "s", 9), (3, "one two three four five six", None, None, 5), (3, "one two three four five six", None, None, 5)]
     for df in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
         assert stage(spark, df, "/root/testdata/sf0.001").count() <= df.count()
+
+
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    edges = spark.createDataFrame([(5, 4), (4, 9), (9, 1), (7, 8), (3, 3), (12, 8), (8, 7), (-2, 20), (20, 21)], "a long, b long")
+    want = [(-2, -2), (1, 1), (4, 1), (5, 1), (7, 7), (8, 7), (9, 1), (12, 7), (20, -2), (21, -2)]
+    few = Scratch(spark, "t")
+    assert sorted(tuple(r) for r in components.components(edges, few).collect()) == want
+    assert set(few.paths) == {"comps"}
+    assert components.components(edges.where("a = b"), few).count() == 0
+    monkeypatch.setattr(components, "DRIVER_EDGES", 0)
+    assert sorted(tuple(r) for r in components.components(edges, Scratch(spark, "t")).collect()) == want
+
+
+def test_near_duplicates_branch_as_they_compare_at_once(spark, monkeypatch):
+    text = lambda i, j: " ".join(f"w{i}x{k}" if k != j else f"v{j}" for k in range(60))
+    rows = [(100 * i + j, text(i, j)) for i in range(6) for j in range(0, 60, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    at_once = sorted(map(tuple, neardup.group(df, percent=80).collect()))
+    monkeypatch.setattr(neardup, "REST", 0)
+    monkeypatch.setattr(neardup, "OUTSIDE", 4)
+    assert sorted(map(tuple, neardup.group(df, percent=80).collect())) == at_once
+    assert len({r[2] for r in at_once}) == 6
