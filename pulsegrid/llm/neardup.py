@@ -13,6 +13,9 @@ and at most ``OUTSIDE`` classes outside the largest, these are compared with all
 blocks; else it branches. Once ``REST`` rows are left, and after ``DEPTH`` levels whatever is, all are compared
 exhaustively, by pairs of blocks. Links are confirmed on the full sets; a pair reaches that step unless its minimum hashes
 differ 4.5 standard deviations more than the threshold allows.
+
+What is left after the first grouping is usually little. Nodes, classes, sketches, texts and components are counted once
+written; few are broadcast to the rows they belong to, more are joined by shuffle, with the same rows either way.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.components import components
-from pulsegrid.llm.scratch import Scratch, release
+from pulsegrid.llm.scratch import Scratch, releasing
 from pulsegrid.llm.textnum import column_bytes, minhash, shingle_sets, slices
 
 #: Minimum hashes to branch by, and ranges of the sketch to compare (a byte each).
@@ -37,8 +40,18 @@ OUTSIDE = 2048
 DEPTH = 3
 #: Rows of unfinished nodes, of all together, that are compared exhaustively at once.
 REST = 4096
-#: Keys broadcast at most (8 bytes each) when texts to confirm are picked; beyond it both sides are shuffled.
+#: Keys broadcast at most (8 bytes each) when classes, sketches or texts are picked; beyond it both sides are shuffled.
 BROADCAST_KEYS = 1_000_000
+#: Nodes, classes with their minimum hashes, or components broadcast at most (up to 200 bytes each).
+BROADCAST_ROWS = 100_000
+#: Sketches (``BINS`` bytes each), and bytes of texts to confirm, broadcast at most.
+BROADCAST_SKETCHES = 50_000
+BROADCAST_TEXTS = 16_000_000
+
+
+def _few(side: DataFrame, most: int) -> DataFrame:
+    """A written table, marked for broadcast if it has at most so many rows."""
+    return F.broadcast(side) if side.count() <= most else side
 
 
 def _sketch(hashes: np.ndarray) -> np.ndarray:
@@ -78,9 +91,8 @@ def _signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                     [batch.column(0).slice(i, j - i), pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(halves[:, 0]), pa.array(halves[:, 1]), flat, packed],
                     names=["key", "n", "h1", "h2", "tokens", "sig"],
                 )
-        release()
 
-    return docs.select(F.col(key).cast("long").alias("key"), text).mapInArrow(run, "key long, n long, h1 long, h2 long, tokens array<int>, sig binary")
+    return docs.select(F.col(key).cast("long").alias("key"), text).mapInArrow(releasing(run), "key long, n long, h1 long, h2 long, tokens array<int>, sig binary")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -106,11 +118,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep[r] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
-        release()
 
-    rows = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-    rows = rows.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
-    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    size = texts.agg(F.sum(F.octet_length("text") + 100)).first()[0] or 0
+    side = (lambda x: F.broadcast(x)) if size <= BROADCAST_TEXTS else (lambda x: x)
+    rows = pairs.join(side(texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))), "b")
+    rows = rows.join(side(texts.select(F.col("key").alias("a"), F.col("text").alias("ta"))), "a")
+    return rows.select("a", "b", "ta", "tb").sortWithinPartitions("a").mapInArrow(releasing(run), "a long, b long")
 
 
 def _least_tokens(percent: int) -> int:
@@ -120,16 +133,16 @@ def _least_tokens(percent: int) -> int:
 
 
 def _sketches_of(keys: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(key, n, sig) of these keys. Counted first: up to ``BROADCAST_KEYS`` they are broadcast."""
+    """(key, n, sig) of these keys, which may repeat. Counted first: up to ``BROADCAST_KEYS`` they are broadcast."""
     rows = sigs.where("n > 0 and key is not null").select("key", "n", "sig")
-    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", "left_semi")
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.distinct(), "key", "left_semi")
 
 
 def _near_pivots(stars: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a class and its node's pivot whose minimum hashes and sizes allow a link."""
     left = reps.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = reps.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    near = stars.distinct().join(right, "b").join(left, "a")
+    near = stars.join(right, "b").join(left, "a")
     same = F.size(F.filter(F.zip_with("ta", "tb", lambda x, y: x == y), lambda z: z))
     return near.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (same >= _least_tokens(percent))).select("a", "b")
 
@@ -144,7 +157,7 @@ def _near_by_sketch(pairs: DataFrame, sketches: DataFrame, percent: int) -> Data
 
     near = pairs.join(sketches.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
     near = near.join(sketches.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
-    return near.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
+    return near.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(releasing(run), "a long, b long")
 
 
 def _bytes(col: pa.Array) -> np.ndarray:
@@ -227,9 +240,8 @@ def _in_groups(small: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 live[i] = True
                 live[rows] = True
             yield pa.RecordBatch.from_arrays([pa.array(x[live]) for x in part[:8]], names=_GROUP)
-        release()
 
-    return dealt.repartition("node", "grp").sortWithinPartitions("node", "grp").mapInArrow(run, _GROUP_DDL)
+    return dealt.repartition("node", "grp").sortWithinPartitions("node", "grp").mapInArrow(releasing(run), _GROUP_DDL)
 
 
 def _near_inside(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -243,19 +255,20 @@ def _near_inside(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFr
                 found.append(np.stack([np.minimum(key[rows], key[i]), np.maximum(key[rows], key[i])], 1))
             both = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-        release()
 
-    return dealt.repartition("node", "grp").sortWithinPartitions("node", "grp").mapInArrow(run, "a long, b long")
+    return dealt.repartition("node", "grp").sortWithinPartitions("node", "grp").mapInArrow(releasing(run), "a long, b long")
 
 
-def _near(stars: DataFrame, small: DataFrame, reps: DataFrame, sigs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Candidate pairs (a, b) of this level."""
-    pairs = scratch.put(_near_pivots(stars, reps, percent), "star_pairs")
+def _near(stars: DataFrame | None, small: DataFrame, reps: DataFrame, sigs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Candidate pairs (a, b) of this level, which may repeat."""
     groups = scratch.put(_in_groups(small, reps, percent), "groups")
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).union(groups.select("key"))
-    sketches = scratch.put(_sketches_of(keys.distinct(), sigs), "sketches")
+    keys = groups.select("key")
+    if stars is not None:
+        pairs = scratch.put(_near_pivots(stars, reps, percent), "star_pairs")
+        keys = keys.union(pairs.select("a")).union(pairs.select("b"))
+    sketches = _few(scratch.put(_sketches_of(keys, sigs), "sketches"), BROADCAST_SKETCHES)
     inside = _near_inside(groups, sketches, percent)
-    return inside if pairs.isEmpty() else _near_by_sketch(pairs, sketches, percent).union(inside)
+    return inside if stars is None else _near_by_sketch(pairs, sketches, percent).union(inside)
 
 
 def _links(docs: DataFrame, key: str, text: str, near: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame | None:
@@ -264,9 +277,9 @@ def _links(docs: DataFrame, key: str, text: str, near: DataFrame, width: int, pe
     n = 2 * near.count()
     if not n:
         return None
-    keys = near.select(F.col("a").alias("key")).union(near.select(F.col("b").alias("key"))).distinct()
+    keys = near.select(F.col("a").alias("key")).union(near.select(F.col("b").alias("key")))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    picked = rows.join(F.broadcast(keys), "key", "left_semi") if n <= BROADCAST_KEYS else rows.join(keys, "key", "left_semi")
+    picked = rows.join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys.distinct(), "key", "left_semi")
     texts = scratch.put(picked, "texts")
     links = scratch.put(_confirmed(near, texts, width, percent), "links")
     return None if links.isEmpty() else links
@@ -284,9 +297,9 @@ def group(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     scratch = Scratch(spark, "neardup")
     sigs = scratch.put(_signatures(docs, key, text, width), "sigs")
     live = sigs.where("n > 0 and key is not null")
-    classes = scratch.put(live.groupBy("h1", "h2").agg(F.min("key").alias("rep")), "classes")
-    members = scratch.put(sigs.select("key", "n", "h1", "h2").join(classes, ["h1", "h2"], "left").select("key", "n", F.when(F.expr("n > 0 and key is not null"), F.col("rep")).alias("rep")), "members")
-    reps = scratch.put(live.select("key", "n", "h1", "h2", "tokens").join(classes, ["h1", "h2"]).where("key = rep").dropDuplicates(["key", "h1"]).select("key", "n", "tokens"), "reps")
+    classes = live.groupBy("h1", "h2").agg(F.min(F.struct("key", "n", "tokens")).alias("rep"))
+    classes = scratch.put(classes.select("h1", "h2", "rep.*"), "classes")
+    reps = classes.select("key", "n", "tokens")
 
     roots = F.array(*[F.xxhash64(F.lit(t), F.lit(j), F.get("tokens", F.lit(t * BRANCH + j))) for t in range(trees) for j in range(BRANCH)])
     frontier = scratch.put(reps.select("key", F.explode(roots).alias("node")).select("node", "key", F.col("key").alias("comp"), F.lit(False).alias("starred")).distinct(), "frontier")
@@ -294,44 +307,54 @@ def group(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     comps: DataFrame | None = None
     stale = False
     for level in range(2 * DEPTH + 2):
-        inner = frontier.groupBy("node", "comp").agg(F.count("*").alias("c"), F.min("key").alias("least"), F.max("starred").alias("starred"))
-        stats = inner.groupBy("node").agg(F.sum("c").alias("total"), F.max(F.struct("c", "comp")).alias("major"), F.min(F.struct("least", "comp")).alias("pivot"), F.max("starred").alias("was"))
-        outside = F.col("total") - F.col("major.c")
-        small = (F.col("total") <= 3) | (F.col("was") & (outside <= OUTSIDE))
-        stats = stats.where(outside > 0).select("node", "was", small.alias("small"), "total", outside.alias("outside"), F.col("major.comp").alias("top"), F.col("pivot.least").alias("pivot"), F.col("pivot.comp").alias("pivot_comp"))
-        stats = scratch.put(stats, "stats")
-        left = stats.agg(F.sum("total")).first()[0] or 0
+        if level:
+            inner = frontier.groupBy("node", "comp").agg(F.count("*").alias("c"), F.min("key").alias("least"), F.max("starred").alias("starred"))
+            stats = inner.groupBy("node").agg(F.sum("c").alias("total"), F.max(F.struct("c", "comp")).alias("major"), F.min(F.struct("least", "comp")).alias("pivot"), F.max("starred").alias("was"))
+            stats = stats.select("node", "was", "total", (F.col("total") - F.col("major.c")).alias("outside"), F.col("major.comp").alias("top"), F.col("pivot.least").alias("pivot"), F.col("pivot.comp").alias("pivot_comp"))
+        else:  # each class is a component
+            stats = frontier.groupBy("node").agg(F.lit(False).alias("was"), F.count("*").alias("total"), F.max("key").alias("top"), F.min("key").alias("pivot"))
+            stats = stats.select("node", "was", "total", (F.col("total") - 1).alias("outside"), "top", "pivot", F.col("pivot").alias("pivot_comp"))
+        small = (F.col("total") <= 3) | (F.col("was") & (F.col("outside") <= OUTSIDE))
+        stats = scratch.put(stats.where("outside > 0").withColumn("small", small), "stats")
+        nodes, left = stats.agg(F.count("*"), F.sum("total")).first()
         if not left:
             break
         last = left <= REST or level == 2 * DEPTH + 1
         if last:
             stats = stats.withColumn("small", F.lit(True))
-        open_ = scratch.put(frontier.drop("starred").join(stats, "node"), "open")
-        stars = open_.where("not small and not was and comp != pivot_comp and key != pivot")
-        near = _near(stars.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")), open_.where("small"), reps, sigs, percent, scratch)
+        open_ = scratch.put(frontier.drop("starred").join(F.broadcast(stats) if nodes <= BROADCAST_ROWS else stats, "node"), "open")
+        mine = reps
+        if left <= BROADCAST_KEYS:
+            mine = _few(scratch.put(reps.join(F.broadcast(open_.select("key")), "key", "left_semi"), "mine"), BROADCAST_ROWS)
+        star = F.expr("not small and not was and comp != pivot_comp and key != pivot")
+        n_large, n_stars = open_.agg(F.count_if(~F.col("small")), F.count_if(star)).first()
+        stars = open_.where(star).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))
+        stars = stars if left <= BROADCAST_ROWS else stars.distinct()
+        near = _near(stars if n_stars else None, open_.where("small"), mine, sigs, percent, scratch)
         found = _links(docs, key, text, near, width, percent, scratch)
         if found is not None:
             stale = True
             edges = found if edges is None else scratch.put(edges.union(found), "all_links")
-        if last or open_.where("not small").isEmpty():
+        if last or not n_large:
             break
         if found is not None:
             comps, stale = components(edges, scratch), False
         stay = open_.where("not small and not was").select("node", "key", "comp", F.lit(True).alias("starred"))
         onward = open_.where("not small and was").select("node", "key", "comp")
         token = lambda j: F.get("tokens", F.pmod(F.xxhash64("node", F.lit(j)), F.lit(TOKENS)).cast("int"))
-        children = onward.join(reps.select("key", "tokens"), "key").select("key", "comp", F.explode(F.array(*[F.xxhash64("node", F.lit(j), token(j)) for j in range(BRANCH)])).alias("node"))
+        children = onward.join(mine.select("key", "tokens"), "key").select("key", "comp", F.explode(F.array(*[F.xxhash64("node", F.lit(j), token(j)) for j in range(BRANCH)])).alias("node"))
         following = stay.union(children.select("node", "key", "comp", F.lit(False).alias("starred")).distinct())
         if comps is not None:
-            renamed = comps.select(F.col("v").alias("key"), F.col("comp").alias("now"))
+            renamed = _few(comps, BROADCAST_ROWS).select(F.col("v").alias("key"), F.col("comp").alias("now"))
             following = following.join(renamed, "key", "left").select("node", "key", F.coalesce("now", "comp").alias("comp"), "starred")
         frontier = scratch.put(following, "frontier")
-    out = members
+    rep = classes.select("h1", "h2", F.col("key").alias("rep"))
+    out = sigs.select("key", "n", "h1", "h2").join(rep, ["h1", "h2"], "left").select("key", "n", F.when(F.expr("n > 0 and key is not null"), F.col("rep")).alias("rep"))
     if edges is not None:
         comps = components(edges, scratch) if stale else comps
-        out = members.join(comps.select(F.col("v").alias("rep"), "comp"), "rep", "left")
+        out = out.join(_few(comps, BROADCAST_ROWS).select(F.col("v").alias("rep"), "comp"), "rep", "left")
     else:
-        out = members.withColumn("comp", F.lit(None).cast("long"))
+        out = out.withColumn("comp", F.lit(None).cast("long"))
     component = F.coalesce("comp", "rep", "key")
     out = out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
     result = scratch.put(out, "result")

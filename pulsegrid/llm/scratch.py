@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,28 @@ def release() -> None:
         pass
 
 
+#: Bytes that a partition must have read for ``releasing`` to be worth its collection, about 0.1 s of CPU.
+RELEASE_BYTES = 1_000_000
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a partition's Arrow batches, and ``release`` after it unless the partition was small."""
+
+    def whole(batches: Iterator) -> Iterator:
+        read = [0]
+
+        def counted() -> Iterator:
+            for batch in batches:
+                read[0] += batch.nbytes
+                yield batch
+
+        yield from run(counted())
+        if read[0] >= RELEASE_BYTES:
+            release()
+
+    return whole
+
+
 #: Rows of an Arrow batch of whole texts at most: some MB, where the default of 10,000 rows takes a hundred.
 TEXT_ROWS = 1000
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pulsegrid.llm import chat, components, decontaminate, langid, neardup, phrases, pieces, queries, tokens, toxicity, urls, warc
+from pulsegrid.llm import chat, components, decontaminate, langid, neardup, phrases, pieces, queries, scratch, tokens, toxicity, urls, warc
 from pulsegrid.llm.scratch import Scratch
 
 PIECES, WORDS = queries.tokenizer_file("piece_bpe_32k.model"), queries.tokenizer_file("word_bpe_49k.json")
@@ -176,3 +177,51 @@ def test_near_duplicates_branch_as_they_compare_at_once(spark, monkeypatch):
     monkeypatch.setattr(neardup, "OUTSIDE", 4)
     assert sorted(map(tuple, neardup.group(df, percent=80).collect())) == at_once
     assert len({r[2] for r in at_once}) == 6
+
+
+def _branching(spark):
+    """Groups of near copies, an exact copy of each group's first, and a repeated key with two texts."""
+    text = lambda i, j: " ".join(f"w{i}x{k}" if k != j else f"v{j}" for k in range(60))
+    rows = [(100 * i + j, text(i, j)) for i in range(6) for j in range(0, 60, 9)]
+    rows += [(100 * i + 90, text(i, 0)) for i in range(6)] + [(18, text(9, 0)), (990, text(9, 9)), (995, None), (None, text(2, 0))]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_near_duplicates_shuffle_as_they_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "REST", 0)
+    monkeypatch.setattr(neardup, "OUTSIDE", 4)
+    order = lambda r: (r.doc_id is None, *map(str, r))
+    few = sorted(neardup.group(_branching(spark), percent=80).collect(), key=order)
+    assert {r.component_id for r in few} == {0, 100, 200, 300, 400, 500, 995, None}
+    for name in ("BROADCAST_KEYS", "BROADCAST_ROWS", "BROADCAST_SKETCHES", "BROADCAST_TEXTS"):
+        monkeypatch.setattr(neardup, name, 0)
+    assert sorted(neardup.group(_branching(spark), percent=80).collect(), key=order) == few
+
+
+def test_near_duplicates_shuffle_little(spark, monkeypatch):
+    """Each shuffle is a stage of as many tasks as there are partitions, however few its rows."""
+    shuffles = []
+    put = Scratch.put
+
+    def counted(self, df, name):
+        shuffles.append((name, df._jdf.queryExecution().executedPlan().toString().count(" Exchange ")))
+        return put(self, df, name)
+
+    monkeypatch.setattr(Scratch, "put", counted)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        neardup.group(_branching(spark), percent=80)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert {name for name, _ in shuffles} >= {"classes", "stats", "groups", "links", "result"}
+    assert sum(n for _, n in shuffles) <= 8, shuffles
+
+
+def test_small_partitions_are_not_collected(monkeypatch):
+    calls = []
+    monkeypatch.setattr(scratch, "release", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["a"])
+    once = scratch.releasing(lambda batches: batches)
+    assert len(list(once(iter([batch])))) == 1 and not calls
+    assert len(list(once(iter([batch] * 200)))) == 200 and calls == [1]
